@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut_lineage, salted_rank
+from .shared import cut_lineage, salted_rank, slices
 from .word_cache import cached_encoder
 
 CAPACITY = 2048
@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = cached_encoder(tokenizer, special_as_text)
         tail = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             out = defaultdict(list)
             ids_of = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
             for doc, ids in zip(batch.column(0).to_pylist(), ids_of):

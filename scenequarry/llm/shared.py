@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,6 +61,13 @@ def publish(fs: pafs.FileSystem, staged: str, final: str) -> None:
     fs.move(staged, final)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that few texts are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def salted_rank(df: DataFrame, keys: list[str], size: str, order: list[str], seed: int) -> DataFrame:
     """Add ``rank`` (from 0, unique within ``keys``) without gathering a key in one task.
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import filesystem, publish
+from .shared import filesystem, publish, slices
 from .word_cache import cached_encoder
 
 SEQ_LEN, ROWS_PER_BATCH = 2048, 64
@@ -129,9 +129,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, seq_len
         staged = [f"{root}/.{n}-{uuid.uuid4().hex}" for n in names]
         tail = np.array([end_id], "<u4").tobytes()
         sinks, writer, index, n_docs, at = [], None, None, 0, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             if writer is None:
                 sinks = [fs.open_output_stream(s) for s in staged]
                 writer = ShardWriter(sinks[0], width, seq_len)
@@ -176,19 +174,13 @@ def read_documents(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 shard = TokenShard(row["tokens"])
                 fs, path = filesystem(row["docs"])
                 with fs.open_input_file(path) as f, pa.ipc.open_file(f) as docs:
-                    starts_of = (docs.get_batch(i) for i in range(docs.num_record_batches))
-                    carried = _read_index(shard, starts_of, row)
-                    yield from carried
+                    yield digest(shard, docs.read_all(), row)
 
-    def _read_index(shard, parts, row):
-        parts = list(parts)
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts)
+    def digest(shard: TokenShard, table: pa.Table, row: dict) -> pa.RecordBatch:
         starts, lengths = table["start"].to_numpy(), table["n_tokens"].to_numpy()
         crcs = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in shard.spans(starts, lengths)]
         columns = [table["doc_id"].combine_chunks(), pa.array(starts + row["first_token"]), pa.array(lengths), pa.array(crcs, pa.int64()), pa.array([row["shard"]] * len(crcs), pa.int32())]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
 
     spread = manifest.select("shard", "tokens", "docs", "first_token")
     n = max(1, spark.sparkContext.defaultParallelism)

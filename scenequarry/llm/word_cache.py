@@ -2,20 +2,28 @@
 
 Natural text repeats its words. A pre-tokenizer that never looks across a
 single space lets a text be encoded word by word, and each distinct word needs
-the tokenizer only once per worker. Texts whose white space is irregular take
-a more careful split, and tokenizers of unknown make encode the text whole, so
-the ids always equal those of encoding the text in one piece.
+the tokenizer only once per worker. A new word is cut by the pre-tokenizer's
+own pattern and its parts, which repeat even more, go to the tokenizer's model.
+Words beyond printable Latin-1 and texts whose white space is irregular go to
+the tokenizer in one piece, as do all texts of a tokenizer of unknown make, so
+the ids always equal those of encoding the text whole.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 import struct
 
+import regex
+
 _WORKER: dict[tuple, "WordCache"] = {}
 
+#: The pattern of byte-level pre-tokenizers.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 
 def cached_encoder(path: str, special_as_text: bool = True) -> "WordCache":
     """This worker's encoder for ``path``; it lives as long as the worker."""
@@ -25,25 +33,61 @@ def cached_encoder(path: str, special_as_text: bool = True) -> "WordCache":
     return _WORKER[key]
 
 
+def byte_alphabet() -> list[str]:
+    """The printable character of each byte in byte-level vocabularies: those of
+    Latin-1 that print stand for themselves, the others follow from code point 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    out, spare = [], 256
+    for b in range(256):
+        out.append(chr(b if b in shown else spare))
+        spare += b not in shown
+    return out
+
+
+class _Words(dict):
+    """Ids by word; an unknown word is looked up in the last generation or encoded."""
+
+    def __init__(self, encoder: "WordCache", older: dict):
+        super().__init__()
+        self.encoder, self.older = encoder, older
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encoder.word(word)
+        if len(word) <= self.encoder.longest:
+            self[word] = ids
+        return ids
+
+
+class _Irregular(Exception):
+    """A text's white space doesn't let it be cut at every single space."""
+
+
 class WordCache:
     """Encode texts to little-endian unsigned 32-bit ids.
 
     ``special_as_text``: the strings of special tokens within a text count as
-    ordinary text. ``limit`` bounds the remembered words, none of which is
-    longer than ``longest``; beyond it the cache starts anew.
+    ordinary text. ``limit`` bounds the words remembered, none of which is
+    longer than ``longest``: at the limit a new generation starts, and words
+    still in use move over from the last one.
     """
 
-    def __init__(self, path: str, special_as_text: bool = True, limit: int = 500_000, longest: int = 200):
+    def __init__(self, path: str, special_as_text: bool = True, limit: int = 400_000, longest: int = 200):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
+        self.model = self.tokenizer.model
         self.limit, self.longest = limit, longest
-        self.passing: list[str] = []
-        self.words: dict[str, bytes | None] = {}
         with open(path, encoding="utf-8") as f:
-            self.kind = _kind(json.load(f))
+            self.kind, pattern = _kind(json.load(f))
+        self.words, self.parts = _Words(self, {}), {}
+        if self.kind == "dropped":
+            self.words[""] = b""
+        self.pattern = regex.compile(pattern) if special_as_text and pattern else None
+        self.shown = dict(enumerate(byte_alphabet()))
         self.careful = re.compile(r"(?<=\S)(?= \S)")
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -53,70 +97,70 @@ class WordCache:
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.kind == "whole":
             return self.whole(texts)
+        gc.disable()  # a collection would walk all the words, which form no cycles
+        try:
+            return list(map(self._dropped if self.kind == "dropped" else self._joined, texts))
+        finally:
+            gc.enable()
+
+    def _known(self) -> _Words:
         if len(self.words) > self.limit:
-            self.words.clear()
-        if self.kind == "dropped":
-            split = [t.replace("\n", " ").split(" ") for t in texts]
-            leads = [b""] * len(texts)
-        else:
-            split = [t.replace("\n", " \n").split(" ") for t in texts]
-            leads = self.whole([p.pop(0) if self._joins(p) else "" for p in split])
-        self._learn(split)
-        out = []
-        for text, lead, pieces in zip(texts, leads, split):
-            try:
-                out.append(lead + b"".join(map(self.words.__getitem__, pieces)))
-            except TypeError:
-                out.append(self._careful(text))
-        for word in self.passing:
-            self.words.pop(word, None)
-        self.passing.clear()
-        return out
-
-    def _joins(self, pieces: list[str]) -> bool:
-        """Whether the first piece may be cut off; otherwise an unusable piece is put in."""
-        if len(pieces) == 1 or _clean(pieces[0]):
-            return True
-        pieces.append("")
-        return False
-
-    def _learn(self, split: list[list[str]]) -> None:
-        new: set[str] = set()
-        for pieces in split:
-            new.update(set(pieces).difference(self.words))
-        if not new:
-            return
-        self.passing = [w for w in new if len(w) > self.longest]
+            self.words = _Words(self, dict(self.words))
+        if len(self.parts) > self.limit:
+            self.parts.clear()
+        return self.words
+
+    def _dropped(self, text: str) -> bytes:
+        return b"".join(map(self._known().__getitem__, text.replace("\n", " ").split(" ")))
+
+    def _joined(self, text: str) -> bytes:
+        first, *pieces = text.replace("\n", " \n").split(" ")
+        if not pieces:
+            return self.chunk(text)
+        try:
+            if not _clean(first):
+                raise _Irregular
+            return self.chunk(first) + b"".join(map(self._known().__getitem__, pieces))
+        except _Irregular:
+            return b"".join(self.whole(self.careful.split(text)))
+
+    def word(self, word: str) -> bytes:
         if self.kind == "dropped":
-            known = [w for w in new if w]
-            if "" in new:
-                self.words[""] = b""
-            chunks = known
-        else:
-            known = [w for w in new if _clean(w[1:] if w[:1] == "\n" else w)]
-            self.words.update(dict.fromkeys(new.difference(known)))
-            chunks = [w if w[0] == "\n" else " " + w for w in known]
-        self.words.update(zip(known, self.whole(chunks)))
-
-    def _careful(self, text: str) -> bytes:
-        """Cut only at a single space between two characters that aren't white space."""
-        chunks = self.careful.split(text)
-        return b"".join(self.whole(chunks))
+            return self.chunk(word) if word else b""
+        if not _clean(word[1:] if word[:1] == "\n" else word):
+            raise _Irregular
+        return self.chunk(word if word[0] == "\n" else " " + word)
+
+    def chunk(self, chunk: str) -> bytes:
+        """Ids of a text that stands alone: a word with at most one space or line break before it."""
+        word = chunk[1:] if chunk[:1] in (" ", "\n") else chunk
+        if self.pattern is None or not word.isprintable() or not (word.isascii() or max(word) <= "\xff"):
+            return self.whole([chunk])[0]
+        cut = self.pattern.findall(chunk.lower() if self.kind == "dropped" else chunk)
+        return b"".join([self.parts[p] if p in self.parts else self._part(p) for p in cut])
+
+    def _part(self, part: str) -> bytes:
+        """Ids of one pre-token, given to the model in the byte alphabet."""
+        tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.shown))
+        ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        if len(part) <= self.longest:
+            self.parts[part] = ids
+        return ids
 
 
 def _clean(word: str) -> bool:
     return bool(word) and not word[0].isspace() and not word[-1].isspace()
 
 
-def _kind(spec: dict) -> str:
-    """How far the pre-tokenizer looks: 'joined' keeps a space with the word after it,
-    'dropped' discards white space, 'whole' stands for any other."""
+def _kind(spec: dict) -> tuple[str, str]:
+    """How far the pre-tokenizer looks, and its pattern: 'joined' keeps a space with the
+    word after it, 'dropped' discards white space and lowers case, 'whole' stands for any other."""
     pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
     if pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not norm:
-        return "joined"
-    steps = pre.get("pretokenizers") or [{}]
-    cut = steps[0]
+        return "joined", BYTE_LEVEL_PATTERN
+    cut, *rest = pre.get("pretokenizers") or [{}]
     pattern = (cut.get("pattern") or {}).get("Regex", "")
     dropped = cut.get("type") == "Split" and cut.get("behavior") == "Removed" and cut.get("invert") and r"[^\s" in pattern
-    whitespace_free = {"NFC", "Lowercase", "Replace"}.issuperset(n.get("type") for n in (norm or {}).get("normalizers", []))
-    return "dropped" if dropped and whitespace_free else "whole"
+    bytes_after = [p.get("type") for p in rest] == ["ByteLevel"] and not rest[0].get("use_regex", True) and not rest[0].get("add_prefix_space")
+    lowered = [n.get("type") for n in (norm or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+    return ("dropped", pattern) if dropped and bytes_after and lowered else ("whole", "")
