@@ -198,7 +198,7 @@ def segments(media: DataFrame) -> DataFrame:
                 spans, tensors, _ = analyse(wav)
                 n = len(spans)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(spans[:, 0]), pa.array(spans[:, 1]), pa.array(list(tensors.reshape(n, -1)), pa.list_(pa.float32()))],
+                    [pa.array([doc] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(spans[:, 0]), pa.array(spans[:, 1]), pa.array(list(tensors.reshape(n, BINS * MELS)), pa.list_(pa.float32()))],
                     names=["doc_id", "segment", "start_s", "end_s", "tensor"],
                 )
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -411,7 +412,7 @@ class Extractor:
         return "\n\n".join(b.text for b, main in zip(blocks, labels) if main)
 
 
-_WORKER: dict[int, Extractor] = {}
+_WORKER: dict[str, Extractor] = {}
 
 
 def extract(pages: DataFrame, field_: Field | None = None) -> DataFrame:
@@ -422,13 +423,14 @@ def extract(pages: DataFrame, field_: Field | None = None) -> DataFrame:
     without main text give an empty text. Repeated rows repeat, an empty table
     gives no rows, other columns are ignored.
     """
-    sent = pages.sparkSession.sparkContext.broadcast(field_ or trained_field())
+    sent = pages.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, field_ or trained_field()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if sent.id not in _WORKER:
+        name, made = sent.value
+        if name not in _WORKER:
             _WORKER.clear()
-            _WORKER[sent.id] = Extractor(sent.value)
-        extractor = _WORKER[sent.id]
+            _WORKER[name] = Extractor(made)
+        extractor = _WORKER[name]
         for batch in slices(batches):
             texts = [extractor.main_text(h) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])

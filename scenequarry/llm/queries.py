@@ -80,13 +80,13 @@ _LISTED = ", ".join(f"('{r.host}', '{r.path}', '{r.key}', '{r.verdict}')" for r
 ORACLE_SQL = {
     "op8_mtree_top_k": """
         with parts as (
-            select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as v
+            select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
             from embeddings
             where vec_id is not null and embedding is not null
-              and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
         ), scored as (
             select q.vec_id as query_id, c.vec_id as vec_id,
-                   cast(list_sum(list_transform(generate_series(1, len(q.v)), i -> q.v[i] * c.v[i])) as bigint) as score
+                   cast(list_sum(list_transform(generate_series(1, len(q.v)), lambda i: q.v[i] * c.v[i])) as bigint) as score
             from parts q join parts c on c.vec_id <> q.vec_id
             where q.vec_id % 50 = 0
         ), ranked as (

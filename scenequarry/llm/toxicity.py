@@ -5,15 +5,17 @@ regression sees the text's features and the probabilities of the categories
 before it; in training those probabilities come from models that did not see
 the row (out of fold), so a later model learns how far to trust them.
 
-Features are which words and word beginnings occur, and a few proportions of
-the whole text. The classifier is fitted on at most ``SAMPLE`` labelled rows,
+Features are which words and word beginnings occur, whether they repeat and
+make up a notable share of the words, and a few proportions of the whole text. The classifier is fitted on at most ``SAMPLE`` labelled rows,
 taken by seeded hash; it then scores every document.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,10 +27,10 @@ from pyspark.sql import functions as F
 CATEGORIES = ("quality", "toxic")
 #: Labelled rows that the fit sees at most; features kept a category; folds.
 SAMPLE, KEPT, FOLDS = 6_000, 1_024, 4
-BUCKETS, STARTS = 1 << 22, (4, 5, 6, 7)
+BUCKETS, STARTS = 1 << 22, (3, 4, 5, 6, 7)
 #: Least |z| of a feature's association with a category, and least documents that hold it.
 LEAST_Z, LEAST_DOCS = 4.0, 5
-N_DENSE = 4
+N_DENSE, SHARES = 4, (0.005, 0.015)
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
@@ -76,7 +78,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_linear(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, kept: int = KEPT, ridge: float = 2e-3, steps: int = 200) -> Linear:
+def fit_linear(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, kept: int = KEPT, ridge: float = 1e-4, steps: int = 200) -> Linear:
     """Features by the z of their log odds ratio, then accelerated gradient descent."""
     mean, scale = dense.mean(axis=0), dense.std(axis=0) + 1e-6
     n, positive = len(y), y.sum()
@@ -99,6 +101,8 @@ def fit_linear(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, kept: i
     x[where[hit], column[index][hit]] = 1
     x[:, len(chosen) : -1] = (dense - mean) / scale
     x[:, -1] = 1
+    size = np.sqrt((x * x).mean(axis=0)) + 1e-6  # rare features learn as fast as common ones
+    x /= size
     penalty = np.full(x.shape[1], ridge, np.float32)
     penalty[-1] = 0
     v = np.ones(x.shape[1], np.float32)
@@ -113,7 +117,7 @@ def fit_linear(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, kept: i
         new = ahead - rate * grad
         ahead = new + i / (i + 3) * (new - w)
         w = new
-    k = len(chosen)
+    w, k = w / size, len(chosen)
     return Linear(names[chosen].astype(np.int64), w[:k].astype(float), w[k:-1].astype(float), float(w[-1]), mean, scale)
 
 
@@ -167,14 +171,28 @@ _WORDS: dict[str, tuple[int, ...]] = {}
 
 
 def featurise(text: str | None, words_known: dict[str, tuple[int, ...]], of=word_features) -> tuple[np.ndarray, tuple[float, ...]]:
-    """Sorted distinct features of a whole text and its dense features."""
+    """Sorted distinct features of a whole text and its dense features.
+
+    A feature comes with marks for occurring at least twice, and for making up
+    at least the shares ``SHARES`` of the words.
+    """
     text = (text or "").lower()
     words = text.split()
-    distinct = set(words)
-    for w in distinct.difference(words_known):
+    counts = Counter(words)
+    for w in counts.keys() - words_known.keys():
         words_known[w] = of(w)
-    found = set().union(*map(words_known.__getitem__, distinct))
-    return np.array(sorted(found), np.int64), dense_features(text, words)
+    found: dict[int, int] = {}
+    for w, n in counts.items():
+        for f in words_known[w]:
+            found[f] = found.get(f, 0) + n
+    out = list(found)
+    for f, n in found.items():
+        if n > 1:
+            out.append(f + BUCKETS)
+        for i, share in enumerate(SHARES, 2):
+            if n >= share * len(words):
+                out.append(f + i * BUCKETS)
+    return np.array(sorted(out), np.int64), dense_features(text, words)
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, sample: int = SAMPLE, seed: int = 5) -> Chain:
@@ -205,20 +223,21 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
     return fit_chain([features[i] for i in mixed], dense[mixed], got[list(categories)].to_numpy()[mixed], categories)
 
 
-_SCORING: dict[int, tuple[set[int], dict[str, tuple[int, ...]]]] = {}
+_SCORING: dict[str, tuple[set[int], dict[str, tuple[int, ...]]]] = {}
 
 
 def _probabilities(sent, texts: list[str | None]) -> np.ndarray:
     """One column a category; this worker remembers words with the features the chain uses."""
-    if sent.id not in _SCORING:
+    name, chain = sent.value
+    if name not in _SCORING:
         _SCORING.clear()
-        _SCORING[sent.id] = set().union(*(m.kept.tolist() for m in sent.value.models)), {}
-    useful, known = _SCORING[sent.id]
+        _SCORING[name] = {f % BUCKETS for m in chain.models for f in m.kept.tolist()}, {}
+    useful, known = _SCORING[name]
     if len(known) > 500_000:
         known.clear()
     of = lambda w: tuple(f for f in word_features(w) if f in useful)
     made = [featurise(t, known, of) for t in texts]
-    return sent.value.probabilities([f for f, _ in made], np.array([d for _, d in made]).reshape(-1, N_DENSE))
+    return chain.probabilities([f for f, _ in made], np.array([d for _, d in made]).reshape(-1, N_DENSE))
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
@@ -227,13 +246,13 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     Whole texts count; a null text is an empty one. Repeated rows repeat, an
     empty table gives no rows, other columns are ignored.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(chain)
+    sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, chain))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = _probabilities(sent, batch.column(1).to_pylist())
             columns, names = [batch.column(0)], ["doc_id"]
-            for j, (c, limit) in enumerate(zip(chain_names, sent.value.thresholds)):
+            for j, (c, limit) in enumerate(zip(chain_names, sent.value[1].thresholds)):
                 columns += [pa.array(p[:, j]), pa.array((p[:, j] >= limit).astype(np.int32))]
                 names += [f"p_{c}", c]
             yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -246,12 +265,12 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, category: str = "toxic") -> DataFrame:
     """The rows of ``docs``, with all their columns, that the chain does not flag in ``category``."""
     chain = train(docs, labels)
-    sent = docs.sparkSession.sparkContext.broadcast(chain)
+    sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, chain))
     j, text = chain.categories.index(category), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = _probabilities(sent, batch.column(text).to_pylist())
-            yield batch.filter(pa.array(p[:, j] < sent.value.thresholds[j]))
+            yield batch.filter(pa.array(p[:, j] < sent.value[1].thresholds[j]))
 
     return docs.mapInArrow(run, docs.schema)
