@@ -55,10 +55,10 @@ def voxelize_first(v):
 
 
 @query("points", f"""with voxels as (select scene_id, {VOXEL.format(0.5)}, avg(r) as r, avg(g) as g from points group by 1, 2, 3, 4)
-    select scene_id, cast(floor(vx / 2) as bigint) as vx, cast(floor(vy / 2) as bigint) as vy, cast(floor(vz / 2) as bigint) as vz, round(avg(r), 4) as r, round(avg(g), 4) as g
+    select scene_id, cast(floor(vx / 2) as bigint) as vx, cast(floor(vy / 2) as bigint) as vy, cast(floor(vz / 2) as bigint) as vz, round(avg(r), 6) as r, round(avg(g), 6) as g
     from voxels group by 1, 2, 3, 4""")
 def voxel_avg_pool2(v):
-    return rounded(spatial.pool(spatial.voxel_mean(v.points, 0.5, ["r", "g"]), ["r", "g"], "avg"), "r", "g")
+    return rounded(spatial.pool(spatial.voxel_mean(v.points, 0.5, ["r", "g"]), ["r", "g"], "avg"), "r", "g", digits=6)
 
 
 @query("points", f"""with voxels as (select scene_id, {VOXEL.format(0.5)}, avg(r) as r from points group by 1, 2, 3, 4),
@@ -353,55 +353,55 @@ def quadrant_crops(v):
 
 def halves(v) -> tuple[DataFrame, DataFrame]:
     p = v.feat_points
-    q = p.where("vec_id % 2 = 0").select("scene_id", F.col("vec_id").alias("q"), "x", "y", "z", "label")
-    return q, p.where("vec_id % 2 = 1").select("scene_id", F.col("vec_id").alias("n"), "x", "y", "z", "label")
+    q = p.where("floor(vec_id / 8) % 2 = 0").select("scene_id", F.col("vec_id").alias("q"), "x", "y", "z", "label")
+    return q, p.where("floor(vec_id / 8) % 2 = 1").select("scene_id", F.col("vec_id").alias("n"), "x", "y", "z", "label")
 
 
 NEAR = """near as (select a.scene_id, a.vec_id as q, b.vec_id as n, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) as d2, b.label, b.x - a.x as dx, b.y - a.y as dy
-        from feat_points a join feat_points b on a.scene_id = b.scene_id where a.vec_id % 2 = 0 and b.vec_id % 2 = 1),
+        from feat_points a join feat_points b on a.scene_id = b.scene_id where floor(a.vec_id / 8) % 2 = 0 and floor(b.vec_id / 8) % 2 = 1),
     k as (select *, row_number() over (partition by scene_id, q order by d2, n) as rank from near)"""
 
 
 @query("feat_points", f"with {NEAR} select scene_id, q, n, round(d2, 6) as d2, cast(rank as int) as rank from k where rank <= 3")
 def knn(v):
-    return rounded(spatial.knn(*halves(v), 3, 0.5), "d2", digits=6)
+    return rounded(spatial.knn(*halves(v), 3, 1.0), "d2", digits=6)
 
 
 @query("feat_points", f"with {NEAR} select scene_id, q, n, round(d2, 6) as d2 from k where rank = 1")
 def nn_join(v):
-    return rounded(spatial.nearest(*halves(v), 0.5), "d2", digits=6)
+    return rounded(spatial.nearest(*halves(v), 1.0), "d2", digits=6)
 
 
 @query("feat_points", f"with {NEAR} select scene_id, q, cast(rank as int) as rank, n, label, round(dx, 6) as dx, round(dy, 6) as dy from k where rank <= 3")
 def query_and_group(v):
     q, n = halves(v)
-    g = spatial.query_and_group(q, n, spatial.knn(q, n, 3, 0.5), ["label"])
+    g = spatial.query_and_group(q, n, spatial.knn(q, n, 3, 1.0), ["label"])
     return g.select("scene_id", "q", "rank", "n", "label", F.round("x", 6).alias("dx"), F.round("y", 6).alias("dy"))
 
 
 @query("feat_points", f"with {NEAR} select scene_id, q, round(sum(label / (sqrt(d2) + 1e-8)) / sum(1 / (sqrt(d2) + 1e-8)), 4) as label from k where rank <= 3 group by 1, 2")
 def knn_interpolate(v):
     q, n = halves(v)
-    return rounded(spatial.interpolate(spatial.knn(q, n, 3, 0.5), n, ["label"]), "label")
+    return rounded(spatial.interpolate(spatial.knn(q, n, 3, 1.0), n, ["label"]), "label")
 
 
 @query("feat_points", f"with {NEAR} select scene_id, q, cast(rank as int) as rank, round(-dx, 6) as x, round(-dy, 6) as y from k where rank <= 3")
 def neighbor_diff(v):
     q, n = halves(v)
-    return rounded(spatial.neighbour_difference(spatial.knn(q, n, 3, 0.5), q, n, ["x", "y"]), "x", "y", digits=6)
+    return rounded(spatial.neighbour_difference(spatial.knn(q, n, 3, 1.0), q, n, ["x", "y"]), "x", "y", digits=6)
 
 
 @query("feat_points", f"""with {NEAR} select k.scene_id, q, round(sum(p.x / rank), 4) as x, round(sum(p.y * 2), 4) as y, round(sum(p.z / rank), 4) as z
     from k join feat_points p on p.vec_id = k.n where rank <= 3 group by 1, 2""")
 def gathered_weighted_sum(v):
     q, n = halves(v)
-    return rounded(spatial.weighted_gather(spatial.knn(q, n, 3, 0.5), n, ["x", "y", "z"], [1 / F.col("rank"), F.lit(2.0)]), "x", "y", "z")
+    return rounded(spatial.weighted_gather(spatial.knn(q, n, 3, 1.0), n, ["x", "y", "z"], [1 / F.col("rank"), F.lit(2.0)]), "x", "y", "z")
 
 
 @query("feat_points", f"""with {NEAR}, r as (select *, row_number() over (partition by scene_id, n order by d2, q) as back from near)
     select scene_id, 'a' as side, q as id, n as match, round(d2, 6) as d2 from k where rank = 1 union all select scene_id, 'b', n, q, round(d2, 6) from r where back = 1""")
 def chamfer(v):
-    return rounded(spatial.chamfer(*halves(v), 0.5), "d2", digits=6)
+    return rounded(spatial.chamfer(*halves(v), 1.0), "d2", digits=6)
 
 
 # -- similarity and affinity
@@ -867,9 +867,9 @@ def segment_colours(v):
 
 @query("points", """with c as (select scene_id, point_id, r, g, b, greatest(r, g, b) as top, greatest(r, g, b) - least(r, g, b) as span from points),
     h as (select scene_id, point_id, top, span, case when span = 0 then 0 when top = r then (g - b) / span when top = g then 2 + (b - r) / span else 4 + (r - g) / span end as h6 from c)
-    select scene_id, point_id, round(case when h6 < 0 then h6 / 6.0 + 1 else h6 / 6.0 end, 4) as h, round(case when top > 0 then span / top else 0 end, 4) as s, cast(top as double) as v from h""")
+    select scene_id, point_id, round(case when h6 < 0 then h6 / 6.0 + 1 else h6 / 6.0 end, 6) as h, round(case when top > 0 then span / top else 0 end, 6) as s, cast(top as double) as v from h""")
 def rgb_to_hsv(v):
-    return rounded(colour.rgb_to_hsv(v.points.select("scene_id", "point_id", "r", "g", "b")), "h", "s").select("scene_id", "point_id", "h", "s", "v")
+    return rounded(colour.rgb_to_hsv(v.points.select("scene_id", "point_id", "r", "g", "b")), "h", "s", digits=6).select("scene_id", "point_id", "h", "s", "v")
 
 
 @query("points masks", "select distinct scene_id, point_id from masks")
