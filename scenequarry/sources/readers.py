@@ -262,7 +262,7 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ids(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """One integer a line, numbered within its file."""
-    text = files(spark, path, pattern).select("scene", F.posexplode(F.split(F.rtrim(F.col("content").cast("string")), r"\r?\n")).alias("point_id", "line"))
+    text = files(spark, path, pattern).select("scene", F.posexplode(F.split(F.regexp_replace(F.col("content").cast("string"), r"\s+$", ""), r"\r?\n")).alias("point_id", "line"))
     return text.select("scene", F.col("point_id").cast("long").alias("point_id"), F.col("line").try_cast("long").alias("gt_id"))
 
 
