@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 CATEGORIES = ("quality", "toxic")
 #: Labelled rows that the fit sees at most; features kept a category; folds.
 SAMPLE, KEPT, FOLDS = 6_000, 1_024, 4
-BUCKETS, STARTS = 1 << 22, (3, 4, 5, 6, 7)
+BUCKETS, STARTS = 1 << 20, (3, 4, 5, 6, 7)
 #: Least |z| of a feature's association with a category, and least documents that hold it.
 LEAST_Z, LEAST_DOCS = 4.0, 5
 N_DENSE, SHARES = 4, (0.005, 0.015)
@@ -80,25 +80,26 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def fit_linear(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, kept: int = KEPT, ridge: float = 1e-4, steps: int = 200) -> Linear:
     """Features by the z of their log odds ratio, then accelerated gradient descent."""
-    mean, scale = dense.mean(axis=0), dense.std(axis=0) + 1e-6
     n, positive = len(y), y.sum()
+    mean, scale = (dense.mean(axis=0), dense.std(axis=0) + 1e-6) if n else (np.zeros(dense.shape[1]), np.ones(dense.shape[1]))
     if not 0 < positive < n:
-        sure = 40.0 if n and positive else -40.0
+        sure = 40.0 if positive else -40.0
         return Linear(np.empty(0, np.int64), np.empty(0), np.zeros(dense.shape[1]), sure, mean, scale)
-    where = np.repeat(np.arange(n), [len(r) for r in rows])
-    flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
-    names, index = np.unique(flat, return_inverse=True)
-    with_, pos = np.bincount(index, minlength=len(names)), np.bincount(index, weights=y[where], minlength=len(names))
+    where = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
+    flat = np.concatenate(rows)
+    space = (2 + len(SHARES)) * BUCKETS
+    with_, pos = np.bincount(flat, minlength=space), np.bincount(flat, y[where], space)
+    names = np.flatnonzero(with_ >= LEAST_DOCS)
+    with_, pos = with_[names], pos[names]
     a, b, c, d = pos + 0.5, with_ - pos + 0.5, positive - pos + 0.5, n - positive - with_ + pos + 0.5
-    z = np.log(a * d / (b * c)) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    z[with_ < LEAST_DOCS] = 0
-    best = np.argsort(-np.abs(z), kind="stable")[:kept]
-    chosen = np.sort(best[np.abs(z[best]) >= LEAST_Z])
+    z = np.abs(np.log(a * d / (b * c)) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d))
+    best = np.argsort(-z, kind="stable")[:kept]
+    chosen = np.sort(names[best[z[best] >= LEAST_Z]])
     x = np.zeros((n, len(chosen) + dense.shape[1] + 1), np.float32)
-    column = np.full(len(names), -1)
+    column = np.full(space, -1, np.int32)
     column[chosen] = np.arange(len(chosen))
-    hit = column[index] >= 0
-    x[where[hit], column[index][hit]] = 1
+    hit = column[flat] >= 0
+    x[where[hit], column[flat[hit]]] = 1
     x[:, len(chosen) : -1] = (dense - mean) / scale
     x[:, -1] = 1
     size = np.sqrt((x * x).mean(axis=0)) + 1e-6  # rare features learn as fast as common ones
@@ -118,7 +119,7 @@ def fit_linear(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, kept: i
         ahead = new + i / (i + 3) * (new - w)
         w = new
     w, k = w / size, len(chosen)
-    return Linear(names[chosen].astype(np.int64), w[:k].astype(float), w[k:-1].astype(float), float(w[-1]), mean, scale)
+    return Linear(chosen, w[:k].astype(float), w[k:-1].astype(float), float(w[-1]), mean, scale)
 
 
 @dataclass
@@ -179,8 +180,9 @@ def featurise(text: str | None, words_known: dict[str, tuple[int, ...]], of=word
     text = (text or "").lower()
     words = text.split()
     counts = Counter(words)
-    for w in counts.keys() - words_known.keys():
-        words_known[w] = of(w)
+    for w in counts:
+        if w not in words_known:
+            words_known[w] = of(w)
     found: dict[int, int] = {}
     for w, n in counts.items():
         for f in words_known[w]:
@@ -195,6 +197,15 @@ def featurise(text: str | None, words_known: dict[str, tuple[int, ...]], of=word
     return np.array(sorted(out), np.int64), dense_features(text, words)
 
 
+def common(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """The rows without features that fewer than ``LEAST_DOCS`` of them hold."""
+    seen = np.zeros((2 + len(SHARES)) * BUCKETS, np.int32)
+    for r in rows:
+        seen[r] += 1
+    often = seen >= LEAST_DOCS
+    return [r[often[r]] for r in rows]
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, sample: int = SAMPLE, seed: int = 5) -> Chain:
     """Fit on at most ``sample`` labelled rows; the executors make features, the driver gets those alone."""
     known = F.lit(True)
@@ -217,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
     joined = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
     got = joined.select("doc_id", "text", *(F.col(c).cast("int") for c in categories)).mapInArrow(run, schema).toPandas()
     got = got.sort_values(["doc_id", *categories, "features"], ignore_index=True)
-    features = [np.frombuffer(b, "<i4").astype(np.int64) for b in got["features"]]
+    features = common([np.frombuffer(b, "<i4") for b in got["features"]])
     dense = np.array(got["dense"].tolist()).reshape(-1, N_DENSE)
     mixed = np.random.default_rng(seed).permutation(len(got))
     return fit_chain([features[i] for i in mixed], dense[mixed], got[list(categories)].to_numpy()[mixed], categories)
