@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import colour, geometry
+from .functions import augment, colour, geometry
 from .operators import aggregates, assign, attention, graph, grouped, masks, metrics, projection, spatial
+from .plans import proposals
 from .plans.views import Views, with_views
 
 _QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
@@ -560,6 +561,30 @@ def instance_averages(v):
     return rounded(metrics.averages(ap_table(v)), "ap", "ap50", "ar", "ar50")
 
 
+def per_scene(sql: str) -> str:
+    """The evaluation chain with the scene kept as a key."""
+    for old, new in (
+        ("select th, label, conf, case when", "select th, scene_id, label, conf, case when"), ("select th, label, conf, 0 from pr", "select th, scene_id, label, conf, 0 from pr"),
+        ("select label, count(*) as n_gt from size where counts group by 1", "select scene_id, label, count(*) as n_gt from size where counts group by 1, 2"),
+        ("select th, label, conf, sum(tp) as tp, sum(1 - tp) as fp from events group by 1, 2, 3", "select th, scene_id, label, conf, sum(tp) as tp, sum(1 - tp) as fp from events group by 1, 2, 3, 4"),
+        ("select th, a.label, conf,", "select th, a.scene_id, a.label, conf,"), ("join ng using (label) window w as (partition by th, a.label", "join ng using (scene_id, label) window w as (partition by th, a.scene_id, a.label"),
+        ("partition by th, label order by conf desc)", "partition by th, scene_id, label order by conf desc)"), ("area as (select th, label,", "area as (select th, scene_id, label,"), ("as ar from steps group by 1, 2)", "as ar from steps group by 1, 2, 3)"),
+        ("select label from ng union select label from events", "select scene_id, label from ng union select scene_id, label from events"), ("select ths.th, c.label,", "select ths.th, c.scene_id, c.label,"),
+        ("left join ng using (label) left join area a on a.th = ths.th and a.label = c.label", "left join ng using (scene_id, label) left join area a on a.th = ths.th and a.scene_id = c.scene_id and a.label = c.label"),
+    ):
+        assert old in sql, old
+        sql = sql.replace(old, new)
+    return sql
+
+
+@query("gt preds masks", f"with {per_scene(EVENTS)} select scene_id, label, round(avg(ap), 4) as ap, round(max(case when th = 0.5 then ap end), 4) as ap50 from report group by 1, 2")
+def instance_ap_by_scene(v):
+    a = association(v)
+    a.pairs = a.pairs.persist()
+    table = metrics.average_precision(metrics.precision_recall_events(a), a.gt, keys=("scene_id", "label"))
+    return table.groupBy("scene_id", "label").agg(F.round(F.avg("ap"), 4).alias("ap"), F.round(F.max(F.when(F.col("th") == 0.5, F.col("ap"))), 4).alias("ap50"))
+
+
 @query()
 def instance_ap25(v):
     a = association(v)
@@ -848,6 +873,72 @@ def estimate_normals(v):
     return rounded(grouped.estimate_normals(p, near, 3.0), "nx", "ny", "nz", digits=3)
 
 
+def ring(seg: DataFrame) -> DataFrame:
+    """Adjacency of the eight-apart segments of the embedding scenes."""
+    return seg.select("scene_id", F.col("segment_id").alias("src"), F.explode(F.array(F.col("segment_id") - 8, F.col("segment_id") + 8)).alias("dst"))
+
+
+@query()
+def attention_proposals(v):
+    seg = segment_features(v)
+    some = v.feat_points.select("scene_id", F.col("vec_id").alias("point_id"), (F.col("vec_id") % 40).alias("segment_id"), "x", "y")
+    settings = proposals.ProposalSettings(least_before=2, least_after=2, scene_ratio=1.0, least_maskness=0.3, hard_threshold=0.2)
+    return rounded(proposals.attention_proposals(seg, "f", ring(seg), some, settings), "conf")
+
+
+@query()
+def density_tree_clusters(v):
+    p = v.feat_points.select("scene_id", F.col("vec_id").alias("point_id"), "x", "y", "z")
+    return grouped.density_tree_clusters(p, 5)
+
+
+@query()
+def floor_plane(v):
+    return rounded(grouped.floor_plane(v.points, within=0.1, tries=100), "a", "b", "c", "d")
+
+
+@query()
+def random_cuboid(v):
+    return grouped.random_cuboid(v.points, 0.5, 50).groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def graph_cut(v):
+    p = v.feat_points
+    nodes = p.select("scene_id", F.col("vec_id").alias("node"), F.greatest("x", F.lit(0.0)).alias("to_source"), F.greatest(-F.col("x"), F.lit(0.0)).alias("to_sink"))
+    near = spatial.knn(p.withColumnRenamed("vec_id", "q"), p.withColumnRenamed("vec_id", "n"), 3, 1.0).where("q <> n")
+    edges = near.select("scene_id", F.least("q", "n").alias("src"), F.greatest("q", "n").alias("dst"), F.exp(-F.sqrt("d2")).alias("capacity")).dropDuplicates(["scene_id", "src", "dst"])
+    return grouped.graph_cut(nodes, edges)
+
+
+@query()
+def zca_whitening(v):
+    w = graph.whiten(segment_features(v), "f")
+    return w.select("scene_id", "segment_id", F.posexplode("f").alias("i", "value")).select("scene_id", "segment_id", "i", F.round("value", 3).alias("value"))
+
+
+@query()
+def patches(v):
+    p = v.feat_points.select("scene_id", F.col("vec_id").alias("point_id"), "x", "y", "z")
+    return grouped.patches(p, 4, 3, 1.0).select("scene_id", "q", "n", "rank")
+
+
+@query()
+def sampled_volume(v):
+    p = v.points.select("scene_id", "point_id", (F.col("x") - 5).alias("x"), (F.col("y") - 5).alias("y"), (F.col("z") - 1.5).alias("z"))
+    return rounded(spatial.sampled_volume(p, 8, 5.2, 4), "x", "y", "z")
+
+
+@query()
+def elastic_distortion(v):
+    return rounded(augment.elastic(v.points.select("scene_id", "point_id", "x", "y", "z"), 2.0, 0.2, 1), "x", "y", "z")
+
+
+@query()
+def point_dropout(v):
+    return augment.dropout(v.points, 0.2, 0.9, 1).groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def self_train_iteration(v):
     """Two rounds: proposals, then what the next round adds to what the last one kept."""

@@ -150,16 +150,17 @@ def box_iou(a: str = "a_", b: str = "b_") -> Column:
     return F.when(union > 0, inter / union).otherwise(F.lit(0.0))
 
 
-def box_nms(boxes: DataFrame, threshold: float, by: list[str], old_type: bool = False) -> DataFrame:
-    """Greedy 3-D suppression by falling score within ``by``; ``old_type`` divides by the other box's volume.
+def box_nms(boxes: DataFrame, threshold: float, by: list[str], old_type: bool = False, axes: str = "xyz") -> DataFrame:
+    """Greedy suppression by falling score within ``by``, in 3-D or with ``axes`` "xy" in 2-D;
+    ``old_type`` divides by the other box's volume.
 
-    ``boxes``: keys, box_id, x1..z2 and score.
+    ``boxes``: keys, box_id, x1, x2 and so on, and score.
     """
     fields = ", ".join(f"{k} {t}" for k, t in boxes.select(*by, "box_id", "score").dtypes)
 
     def run(lot: pd.DataFrame) -> pd.DataFrame:
         lot = lot.sort_values(["score", "box_id"], ascending=[False, True], ignore_index=True)
-        low, high = lot[["x1", "y1", "z1"]].to_numpy(float), lot[["x2", "y2", "z2"]].to_numpy(float)
+        low, high = lot[[f"{a}1" for a in axes]].to_numpy(float), lot[[f"{a}2" for a in axes]].to_numpy(float)
         volume, alive, kept = (high - low).prod(axis=1), np.ones(len(lot), bool), []
         for i in range(len(lot)):
             if not alive[i]:
@@ -173,6 +174,32 @@ def box_nms(boxes: DataFrame, threshold: float, by: list[str], old_type: bool =
     return boxes.groupBy(*by).applyInPandas(run, fields)
 
 
+def corner_similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """1 less the mean distance of corners over the mean diagonal, at the best of four turns; at least 0.
+
+    Corners 0-3 and 4-7 go round the two faces.
+    """
+    turns = [[(x + y) % 4 + side for side in (0, 4) for x in range(4)] for y in range(4)]
+    gap = min(np.linalg.norm(b[t] - a, axis=1).mean() for t in turns)
+    diagonal = (np.linalg.norm(a[0] - a[6]) + np.linalg.norm(b[0] - b[6])) / 2
+    return max(1 - gap / diagonal, 0.0)
+
+
+def corner_nms(boxes: DataFrame, threshold: float, by: list[str]) -> DataFrame:
+    """Greedy suppression of oriented boxes by corner similarity; ``boxes``: keys, box_id, score and ``corners`` (24 values)."""
+    fields = ", ".join(f"{k} {t}" for k, t in boxes.select(*by, "box_id", "score").dtypes)
+
+    def run(lot: pd.DataFrame) -> pd.DataFrame:
+        lot = lot.sort_values(["score", "box_id"], ascending=[False, True], ignore_index=True)
+        corners, kept = [np.reshape(c, (8, 3)) for c in lot["corners"]], []
+        for i in range(len(lot)):
+            if all(corner_similarity(corners[k], corners[i]) <= threshold for k in kept):
+                kept.append(i)
+        return lot.loc[kept, [*by, "box_id", "score"]]
+
+    return boxes.groupBy(*by).applyInPandas(run, fields)
+
+
 def minmax(column: str, keys: list[str]) -> Column:
     """Min-max normalised within ``keys``; 0 where all are equal."""
     w = Window.partitionBy(*keys)

@@ -73,7 +73,7 @@ def associate(gt: DataFrame, preds: DataFrame, masks: DataFrame, least: int = 10
 
 
 def precision_recall_events(a: Association, thresholds: tuple[float, ...] = THRESHOLDS, by: str = "scene_id") -> DataFrame:
-    """(th, label, conf, tp): one row a scored prediction.
+    """(th, scene, label, conf, tp): one row a scored prediction.
 
     From a threshold of 0.5 on a prediction can match one instance at most, so
     of an instance's matches the best scored is its true positive and the
@@ -85,9 +85,9 @@ def precision_recall_events(a: Association, thresholds: tuple[float, ...] = THRE
     th = F.explode(F.array(*map(F.lit, thresholds))).alias("th")
     hits = a.pairs.select("*", th).where(F.col("iou") > F.col("th"))
     place = Window.partitionBy("th", by, "gt_id").orderBy(F.desc("conf"), "mask_id")
-    scored = hits.where("counts").select("th", "label", "conf", (F.row_number().over(place) == 1).cast("int").alias("tp"))
+    scored = hits.where("counts").select("th", by, "label", "conf", (F.row_number().over(place) == 1).cast("int").alias("tp"))
     lone = a.preds.select("*", th).join(hits.select("th", by, "mask_id").distinct(), ["th", by, "mask_id"], "left_anti")
-    false = lone.where(F.col("ignored") / F.col("vert_count") <= F.col("th")).select("th", "label", "conf", F.lit(0).alias("tp"))
+    false = lone.where(F.col("ignored") / F.col("vert_count") <= F.col("th")).select("th", by, "label", "conf", F.lit(0).alias("tp"))
     return scored.unionByName(false)
 
 
@@ -113,34 +113,34 @@ def sequential_events(a: Association, threshold: float = 0.25, by: str = "scene_
                     best = max(best, conf)
             if best is not None:
                 out.append((best, 1))
-        return pd.DataFrame({"th": threshold, "label": lot["label"].iloc[0], "conf": [c for c, _ in out], "tp": [t for _, t in out]})
+        return pd.DataFrame({"th": threshold, by: lot[by].iloc[0], "label": lot["label"].iloc[0], "conf": [c for c, _ in out], "tp": [t for _, t in out]})
 
-    scored = pairs.groupBy(by, "label").applyInPandas(run, "th double, label int, conf double, tp int")
+    scored = pairs.groupBy(by, "label").applyInPandas(run, f"th double, {by} long, label int, conf double, tp int")
     lone = a.preds.join(pairs.select(by, "mask_id").distinct(), [by, "mask_id"], "left_anti")
-    false = lone.where(F.col("ignored") / F.col("vert_count") <= threshold).select(F.lit(threshold).alias("th"), "label", "conf", F.lit(0).alias("tp"))
+    false = lone.where(F.col("ignored") / F.col("vert_count") <= threshold).select(F.lit(threshold).alias("th"), by, "label", "conf", F.lit(0).alias("tp"))
     return scored.unionByName(false)
 
 
-def average_precision(events: DataFrame, gt: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
-    """th, label, ap and ar.
+def average_precision(events: DataFrame, gt: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, keys: tuple[str, ...] = ("label",)) -> DataFrame:
+    """th, ``keys``, ap and ar; with the scene among ``keys`` every scene is evaluated alone.
 
     Precision and recall at each distinct score, an artificial last point
     (1, 0), and half the recall between neighbours as widths. Without
     predictions ap is 0 and ar null; without ground truth ap is null and ar 0.
     """
-    n_gt = gt.where("counts").groupBy("label").agg(F.count(F.lit(1)).alias("n_gt"))
-    at = events.groupBy("th", "label", "conf").agg(F.sum("tp").alias("tp"), F.sum(1 - F.col("tp")).alias("fp"))
-    down = Window.partitionBy("th", "label").orderBy(F.desc("conf"))
+    n_gt = gt.where("counts").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_gt"))
+    at = events.groupBy("th", *keys, "conf").agg(F.sum("tp").alias("tp"), F.sum(1 - F.col("tp")).alias("fp"))
+    down = Window.partitionBy("th", *keys).orderBy(F.desc("conf"))
     total = down.rowsBetween(Window.unboundedPreceding, 0)
-    pr = at.join(n_gt, "label").select("th", "label", "conf", (F.sum("tp").over(total) / F.col("n_gt")).alias("r"), (F.sum("tp").over(total) / F.sum(F.col("tp") + F.col("fp")).over(total)).alias("p"))
+    pr = at.join(n_gt, [*keys]).select("th", *keys, "conf", (F.sum("tp").over(total) / F.col("n_gt")).alias("r"), (F.sum("tp").over(total) / F.sum(F.col("tp") + F.col("fp")).over(total)).alias("p"))
     higher = F.lag("r").over(down)
     width = (F.coalesce(F.lead("r").over(down), F.col("r")) - F.coalesce(higher, F.lit(0.0))) / 2
     area = pr.withColumn("w", width).withColumn("last", F.when(higher.isNull(), F.col("r") / 2).otherwise(0.0))
-    sums = area.groupBy("th", "label").agg((F.sum(F.col("p") * F.col("w")) + F.sum("last")).alias("ap"), F.sum(F.col("r") * F.col("w")).alias("ar"))
-    labels = n_gt.select("label", "n_gt").join(events.select("label").distinct().withColumn("_p", F.lit(1)), "label", "full")
-    grid = labels.select("label", "n_gt", F.explode(F.array(*map(F.lit, thresholds))).alias("th"))
+    sums = area.groupBy("th", *keys).agg((F.sum(F.col("p") * F.col("w")) + F.sum("last")).alias("ap"), F.sum(F.col("r") * F.col("w")).alias("ar"))
+    seen = n_gt.select(*keys, "n_gt").join(events.select(*keys).distinct(), [*keys], "full")
+    grid = seen.select(*keys, "n_gt", F.explode(F.array(*map(F.lit, thresholds))).alias("th"))
     none = F.col("n_gt").isNull()
-    return grid.join(sums, ["th", "label"], "left").select("th", "label", F.when(~none, F.coalesce("ap", F.lit(0.0))).alias("ap"), F.when(none, 0.0).otherwise(F.col("ar")).alias("ar"))
+    return grid.join(sums, ["th", *keys], "left").select("th", *keys, F.when(~none, F.coalesce("ap", F.lit(0.0))).alias("ap"), F.when(none, 0.0).otherwise(F.col("ar")).alias("ar"))
 
 
 def averages(table: DataFrame) -> DataFrame:

@@ -66,6 +66,21 @@ def occupied_centres(grid: DataFrame, cells: int, radius: float) -> DataFrame:
     return grid.select("*", *(((F.col(f"v{a}") + 0.5) * step - radius).alias(a) for a in AXES))
 
 
+def sampled_volume(points: DataFrame, cells: int, radius: float, n: int, seed: int = 0, by: str = "scene_id", key: str = "point_id") -> DataFrame:
+    """``n`` points of every occupied cell, relative to its centre in cell units: (cell, slot, x, y, z).
+
+    A fuller cell gives a seeded sample; a sparser one repeats its last point.
+    """
+    step = 2 * radius / cells
+    placed = points.select(by, key, *AXES, *(F.floor((F.col(a) + radius) / step).cast("long").alias(f"v{a}") for a in AXES))
+    w = Window.partitionBy(by, *CELL).orderBy(F.xxhash64(F.lit(seed), key), key)
+    kept = placed.withColumn("slot", F.row_number().over(w) - 1).where(F.col("slot") < n)
+    some = kept.groupBy(by, *CELL).agg((F.max("slot") + 1).alias("_n"))
+    slots = some.select(by, *CELL, "_n", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_s")).withColumn("slot", F.least(F.col("_s"), F.col("_n") - 1))
+    local = [((F.col(a) - ((F.col(f"v{a}") + 0.5) * step - radius)) / step).alias(a) for a in AXES]
+    return slots.join(kept, [by, *CELL, "slot"]).select(by, *CELL, F.col("_s").alias("slot"), *local)
+
+
 def extents(points: DataFrame, by: str = "scene_id", axes: tuple[str, ...] = AXES) -> DataFrame:
     return points.groupBy(by).agg(*(f(a).alias(f"{n}_{a}") for a in axes for n, f in (("min", F.min), ("max", F.max))))
 
