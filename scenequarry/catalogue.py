@@ -215,11 +215,11 @@ def bit_unpack(v):
     return v.table("lineitem").select(sem.alias("sem"), ins.alias("ins")).groupBy("sem", "ins").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("points", """with d as (select distinct scene_id, segment_id from points where segment_id % 7 <> 2),
-    n as (select scene_id, segment_id, cast(row_number() over (partition by scene_id order by segment_id) - 1 as bigint) as k from d)
-    select p.scene_id, k as segment_id, count(*) as n from points p join n using (scene_id, segment_id) group by 1, 2""")
+@query("points", """with d as (select distinct scene_id, r from points),
+    n as (select scene_id, r, cast(row_number() over (partition by scene_id order by r) - 1 as bigint) as k from d)
+    select p.scene_id, k as r, count(*) as n from points p join n using (scene_id, r) group by 1, 2""")
 def dense_relabel(v):
-    return aggregates.dense_ids(v.points.where("segment_id % 7 <> 2").select("scene_id", "segment_id"), "segment_id").groupBy("scene_id", "segment_id").agg(F.count(F.lit(1)).alias("n"))
+    return aggregates.dense_ids(v.points.select("scene_id", "r"), "r").groupBy("scene_id", "r").agg(F.count(F.lit(1)).alias("n"))
 
 
 FACES = """base as (select scene_id, max(point_id) + 1 as n from points group by 1),
@@ -239,12 +239,13 @@ def vertices(v) -> DataFrame:
     return v.points.select("scene_id", F.col("point_id").alias("v"), "x", "y", "z", *((F.col(c) / 255.0).alias(c) for c in "rgb"), "segment_id")
 
 
-@query("points", f"""with {FACES}, kept as (select * from faces where f % 5 <> 0),
+@query("points", f"""with {FACES}, kept as (select faces.* from faces join points p on p.scene_id = faces.scene_id and p.point_id = i1 where label <> 3),
     used as (select distinct scene_id, unnest([i1, i2, i3]) as v from kept), new as (select scene_id, v, row_number() over (partition by scene_id order by v) - 1 as k from used)
     select kept.scene_id, f, cast(a.k as bigint) as i1, cast(b.k as bigint) as i2, cast(c.k as bigint) as i3 from kept join new a on a.scene_id = kept.scene_id and a.v = i1
     join new b on b.scene_id = kept.scene_id and b.v = i2 join new c on c.scene_id = kept.scene_id and c.v = i3""")
 def mesh_reindex(v):
-    _, out = aggregates.reindex(vertices(v), faces(v).where("f % 5 <> 0"))
+    good = v.points.where("label <> 3").select("scene_id", F.col("point_id").alias("i1"))
+    _, out = aggregates.reindex(vertices(v), faces(v).join(good, ["scene_id", "i1"], "left_semi"))
     return out.select("scene_id", "f", "i1", "i2", "i3")
 
 
@@ -684,8 +685,8 @@ def extent_filter(v):
 
 @query()
 def mask_append_self_train(v):
-    base, new = v.masks.where("mask_id < 1000"), v.masks.where("mask_id >= 2000")
-    return masks.append_masks(base.where("mask_id % 100 < 3"), new, 10).groupBy("scene_id", "mask_id", "added").agg(F.count(F.lit(1)).alias("n"))
+    base, new = v.masks.where("mask_id between 1000 and 1999"), v.masks.where("mask_id >= 2000")
+    return masks.append_masks(base, new, 10).groupBy("scene_id", "mask_id", "added").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -753,21 +754,21 @@ def ray_project_features(v):
     return rounded(mean.join(top, ["scene_id", "voxel_id"]), "feat").select("scene_id", "voxel_id", "feat", "label", "n")
 
 
-@query("points", """with px as (select scene_id, point_id, point_id % 64 as u, point_id % 48 as v, cast(z as double) as depth from points where point_id < 2000)
+@query("points", """with px as (select scene_id, point_id, point_id % 64 as u, point_id % 48 as v, cast(z as double) as depth from points)
     select scene_id, point_id, round(5.0 - (v - 24.0) * depth / 50.0, 4) as x, round((u - 32.0) * depth / 60.0 + 5.0, 4) as y, round(depth - 2.0, 4) as z from px where depth > 0""")
 def depth_unproject(v):
     pose = F.array(*(F.lit(float(c)) for c in (0, -1, 0, 5, 1, 0, 0, 5, 0, 0, 1, -2, 0, 0, 0, 1)))
-    px = v.points.where("point_id < 2000").select("scene_id", "point_id", (F.col("point_id") % 64).alias("u"), (F.col("point_id") % 48).alias("v"), F.col("z").alias("depth"), F.lit(60.0).alias("fx"), F.lit(50.0).alias("fy"), F.lit(32.0).alias("mx"), F.lit(24.0).alias("my"), pose.alias("pose"))
+    px = v.points.select("scene_id", "point_id", (F.col("point_id") % 64).alias("u"), (F.col("point_id") % 48).alias("v"), F.col("z").alias("depth"), F.lit(60.0).alias("fx"), F.lit(50.0).alias("fy"), F.lit(32.0).alias("mx"), F.lit(24.0).alias("my"), pose.alias("pose"))
     return rounded(projection.unproject(px), "x", "y", "z").select("scene_id", "point_id", "x", "y", "z")
 
 
-@query("points", f"""with vox as (select scene_id, {VOXEL.format(1.0)}, avg(r) as r from points group by 1, 2, 3, 4), q as (select scene_id, point_id as q, x - 0.5 as x, y - 0.5 as y, z - 0.5 as z from points where point_id < 500),
+@query("points", f"""with vox as (select scene_id, {VOXEL.format(1.0)}, avg(r) as r from points group by 1, 2, 3, 4), q as (select scene_id, point_id as q, x - 0.5 as x, y - 0.5 as y, z - 0.5 as z from points),
     o as (select unnest([0, 1]) as o), c as (select scene_id, q, x, y, z, floor(x) + a.o as vx, floor(y) + b.o as vy, floor(z) + c.o as vz from q, o a, o b, o c),
     m as (select c.scene_id, q, r, (sqrt(3) - sqrt((x - c.vx) * (x - c.vx) + (y - c.vy) * (y - c.vy) + (z - c.vz) * (z - c.vz))) / sqrt(3) as w from c join vox on vox.scene_id = c.scene_id and vox.vx = c.vx and vox.vy = c.vy and vox.vz = c.vz)
     select scene_id, q, round(sum(r * w) / (sum(w) + 1e-4), 4) as r from m group by 1, 2 having count(*) = 8""")
 def voxel_interpolate(v):
     vox = spatial.voxel_mean(v.points, 1.0, ["r"]).drop("n")
-    q = v.points.where("point_id < 500").select("scene_id", F.col("point_id").alias("q"), *((F.col(a) - 0.5).alias(a) for a in "xyz"))
+    q = v.points.select("scene_id", F.col("point_id").alias("q"), *((F.col(a) - 0.5).alias(a) for a in "xyz"))
     return rounded(projection.interpolate_corners(q, vox, ["r"]), "r")
 
 
@@ -818,30 +819,26 @@ def stratified_group_kfold(v):
 # -- graph
 
 
-SMALL = "scene_id = 0 and point_id < 200"
-
-
-@query("points", f"""with recursive p as (select point_id as v, x, y, z from points where {SMALL}), e as (select a.v as a, b.v as b from p a join p b on a.v <> b.v and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 1.0),
-    r as (select v, v as c from p union select e.b, r.c from r join e on e.a = r.v) select v as node, min(c) as component from r group by 1""".replace("with recursive", "with"))
+@query("feat_points", """with recursive near as (select a.scene_id, a.vec_id as q, b.vec_id as n, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) as d2 from feat_points a join feat_points b on a.scene_id = b.scene_id),
+    k as (select scene_id, q, n from (select *, row_number() over (partition by scene_id, q order by d2, n) as rank from near) where rank <= 2 and q <> n),
+    e as (select scene_id, q as a, n as b from k union select scene_id, n, q from k),
+    r as (select scene_id, vec_id as v, vec_id as c from feat_points union select r.scene_id, e.b, r.c from r join e on e.scene_id = r.scene_id and e.a = r.v)
+    select scene_id, v as node, min(c) as component from r group by 1, 2""")
 def connected_components(v):
-    """A fixed small fixture: the recursive counterpart walks all paths."""
-    p = v.points.where(SMALL).select("scene_id", F.col("point_id").alias("node"), "x", "y", "z")
-    a, b = (p.select("scene_id", F.col("node").alias(n), *(F.col(c).alias(f"{n}{c}") for c in "xyz")) for n in ("src", "dst"))
-    d2 = sum(((F.col(f"src{c}") - F.col(f"dst{c}")) * (F.col(f"src{c}") - F.col(f"dst{c}")) for c in "xyz"), F.lit(0.0))
-    edges = a.join(b, "scene_id").where((F.col("src") < F.col("dst")) & (d2 <= 1.0)).select("scene_id", "src", "dst")
-    return graph.connected_components(p.select("scene_id", "node"), edges).select("node", "component")
-
-
-_SQL["connected_components"] = "with recursive" + _SQL["connected_components"][4:]
+    """Components of the graph that joins each vector to its nearest neighbour."""
+    p = v.feat_points
+    near = spatial.knn(p.withColumnRenamed("vec_id", "q"), p.withColumnRenamed("vec_id", "n"), 2, 1.0).where("q <> n")
+    edges = near.select("scene_id", F.col("q").alias("src"), F.col("n").alias("dst"))
+    return graph.connected_components(p.select("scene_id", F.col("vec_id").alias("node")), edges)
 
 
 @query("points", f"""with vox as (select distinct scene_id, {VOXEL.format(0.5)}, segment_id from points),
-    met as (select a.scene_id, a.segment_id as src, b.segment_id as dst from vox a join vox b on a.scene_id = b.scene_id and a.segment_id <> b.segment_id
-        and (a.vx = b.vx and a.vy = b.vy and a.vz = b.vz or a.vx + 1 = b.vx and a.vy = b.vy and a.vz = b.vz or a.vx = b.vx and a.vy + 1 = b.vy and a.vz = b.vz or a.vx = b.vx and a.vy = b.vy and a.vz + 1 = b.vz) where a.scene_id < 2)
+    step(dx, dy, dz) as (values (0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1)),
+    moved as (select scene_id, segment_id as src, vx + dx as vx, vy + dy as vy, vz + dz as vz from vox, step),
+    met as (select distinct scene_id, src, segment_id as dst from moved join vox using (scene_id, vx, vy, vz) where src <> segment_id)
     select scene_id, src, dst from met union select scene_id, dst, src from met""")
 def segment_adjacency(v):
-    vox = spatial.voxelize(v.points, 0.5).where("scene_id < 2").select("scene_id", "vx", "vy", "vz", "segment_id").distinct()
-    return graph.voxel_adjacency(vox)
+    return graph.voxel_adjacency(spatial.voxelize(v.points, 0.5).select("scene_id", "vx", "vy", "vz", "segment_id").distinct())
 
 
 @query()

@@ -107,6 +107,7 @@ def with_views(names: str, body: str) -> str:
     wanted = [n for n in SQL if any(n == w or n in NEEDS[w] for w in names.split())]
     views = ",\n".join(f"{n} as ({SQL[n]})" for n in wanted)
     body = body.strip()
-    if body.lower().startswith("with "):
-        return f"with {views},\n{body[5:]}"
+    for head in ("with recursive ", "with "):
+        if body.lower().startswith(head):
+            return f"{head}{views},\n{body[len(head):]}"
     return f"with {views}\n{body}"
