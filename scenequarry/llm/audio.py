@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import filesystem, publish, scratch
+from .shared import filesystem, publish, scratch, slices
 
 UNIT = 192
 RATE, UP, DOWN, HALF_TAPS = 12_000, 2, 3, 12
@@ -162,7 +162,7 @@ def media_table(docs: DataFrame, out: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = [payload(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([to_wav(p) for _, p in made], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
@@ -174,7 +174,7 @@ def digests(media: DataFrame) -> DataFrame:
     """Per row of a media table: what was stored, read back, and a digest of its features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, n, wav in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 _, samples = from_wav(wav)

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import slices
+from .shared import held, slices
 
 BUCKETS = 1 << 13
 #: Elements by their role in a document.
@@ -277,7 +277,7 @@ ARTICLE = ["content", "post", "entry", "article", "story", "article-body", "post
 _MARKS = "\ue000\ue001"
 
 
-def labelled_pages(n: int = 400, seed: int = 17) -> list[tuple[list[Block], list[int]]]:
+def labelled_pages(n: int = 800, seed: int = 17) -> list[tuple[list[Block], list[int]]]:
     """Pages of varied layout with the label of each block, known because the writer marks its text."""
     rng = np.random.default_rng(seed)
     out = []
@@ -368,7 +368,7 @@ def _write_page(rng: np.random.Generator) -> str:
     if chance(0.15):
         title = f"<header>{title}</header>"
     inner = [title, *(part() for _ in range(rng.integers(1, 12)))]
-    for kind, p in (("ad", 0.3), ("share", 0.15), ("form", 0.12), ("notice", 0.08), ("aside", 0.12)):
+    for kind, p in (("ad", 0.45), ("share", 0.15), ("form", 0.15), ("notice", 0.12), ("aside", 0.15)):
         if chance(p):
             inner.insert(int(rng.integers(1, len(inner) + 1)), around(kind, True))
     if chance(0.15):
@@ -385,7 +385,7 @@ def _write_page(rng: np.random.Generator) -> str:
 
 
 @cache
-def trained_field(n: int = 400, seed: int = 17) -> Field:
+def trained_field(n: int = 800, seed: int = 17) -> Field:
     """The field trained on ``n`` written pages; made once a process."""
     return train(labelled_pages(n, seed))
 
@@ -412,9 +412,6 @@ class Extractor:
         return "\n\n".join(b.text for b, main in zip(blocks, labels) if main)
 
 
-_WORKER: dict[str, Extractor] = {}
-
-
 def extract(pages: DataFrame, field_: Field | None = None) -> DataFrame:
     """Per row: page_id, url, text and n_chars (code points) of the main text of the whole page.
 
@@ -427,10 +424,7 @@ def extract(pages: DataFrame, field_: Field | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, made = sent.value
-        if name not in _WORKER:
-            _WORKER.clear()
-            _WORKER[name] = Extractor(made)
-        extractor = _WORKER[name]
+        extractor = held((Extractor, name), lambda: Extractor(made))
         for batch in slices(batches):
             texts = [extractor.main_text(h) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut_lineage, filesystem, publish
+from .shared import cut_lineage, filesystem, held, publish
 
 #: Rows of a tree, entries of a page, and queries searched together.
 TREE_ROWS, PAGE, QUERY_BLOCK = 16_384, 128, 512
@@ -246,14 +246,9 @@ def build_index(vectors: DataFrame, out: str, tree_rows: int = TREE_ROWS, seed:
     return made, width, most
 
 
-_LOADED: dict[str, MTree] = {}
-
-
-def _tree(uri: str) -> MTree:
-    if uri not in _LOADED:
-        _LOADED.clear()
-        _LOADED[uri] = MTree.load(uri)
-    return _LOADED[uri]
+def _tree(directory: pd.DataFrame, lot: pd.DataFrame) -> MTree:
+    uri = directory["uri"].iloc[int(lot["tree"].iloc[0])]
+    return held((MTree, uri), lambda: MTree.load(uri))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, out: str, k: int = 5, **how) -> DataFrame:
@@ -288,14 +283,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, out: str, k: int = 5, **how) -
 
     def search(lot: pd.DataFrame) -> pd.DataFrame:
         directory, width, _ = sent.value
-        tree = _tree(directory["uri"].iloc[int(lot["tree"].iloc[0])])
+        tree = _tree(directory, lot)
         out = [(i, -v, s) for i, q in zip(lot["query_id"], _matrix(lot["vector"], width)) for s, v in tree.search(i, q, k)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     def searched_on(lot: pd.DataFrame) -> pd.DataFrame:
         """Like ``search``, but from the k-th score of the home tree on; what the home tree gave isn't repeated."""
         directory, width, _ = sent.value
-        tree = _tree(directory["uri"].iloc[int(lot["tree"].iloc[0])])
+        tree = _tree(directory, lot)
         out = []
         for i, q, s, v in zip(lot["query_id"], _matrix(lot["vector"], width), lot["kth"], lot["kth_id"]):
             held = [] if pd.isna(s) else [(int(s), -int(v))] * k

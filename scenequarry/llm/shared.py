@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -61,6 +61,20 @@ def publish(fs: pafs.FileSystem, staged: str, final: str) -> None:
     fs.move(staged, final)
 
 
+_HELD: dict[object, object] = {}
+
+
+def held(name: object, make: Callable[[], object]) -> object:
+    """What this Python worker remembers under ``name``; asking for another name drops the last.
+
+    Workers serve many tasks and operators, so what they remember is bounded by the largest, not the sum.
+    """
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows``, so that few texts are Python objects at once."""
     for batch in batches:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut_lineage
+from .shared import cut_lineage, held, slices
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 SEGMENTS, SEGMENT_BITS = 16, 4
@@ -56,7 +56,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp (signed 64 bits) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        held("simhash", dict)  # keeps nothing, but lets go of what another operator kept
+        for batch in slices(batches):
             fps = [fingerprint(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 

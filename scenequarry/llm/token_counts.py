@@ -17,6 +17,9 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import held, slices
+from .word_cache import byte_alphabet
+
 
 class LongestMatch:
     """Counts greedy longest-match pieces of byte strings over ``vocabulary``.
@@ -81,21 +84,13 @@ class LongestMatch:
 
 def byte_level_vocabulary(path: str) -> list[bytes]:
     """Tokens of a byte-level tokenizer file as bytes; those that aren't byte strings are left out.
-
-    Such files write bytes as printable characters: those of Latin-1 that
-    print stand for themselves, the others follow from code point 256 on.
     """
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in shown]
-    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+    byte_of = {c: b for b, c in enumerate(byte_alphabet())}
     with open(path, encoding="utf-8") as f:
         model = json.load(f)["model"]
     return [bytes(map(byte_of.__getitem__, t)) for t in model["vocab"] if t and all(map(byte_of.__contains__, t))]
 
 
-_WORKER: dict[str, tuple[LongestMatch, dict[bytes, int]]] = {}
-
-
 def count_tokens(docs: DataFrame, path: str, limit: int = 500_000, longest: int = 200) -> DataFrame:
     """Per row: doc_id, n_words and n_tokens of the whole text.
 
@@ -107,10 +102,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 500_000, longest: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _WORKER:
-            _WORKER[path] = LongestMatch(byte_level_vocabulary(path)), {}
-        automaton, known = _WORKER[path]
-        for batch in batches:
+        automaton, known = held((LongestMatch, path), lambda: (LongestMatch(byte_level_vocabulary(path)), {}))
+        for batch in slices(batches):
             n_words, n_tokens = [], []
             for text in batch.column(1).to_pylist():
                 words = (text or "").encode().split()

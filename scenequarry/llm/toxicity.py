@@ -24,13 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import held, slices
+
 CATEGORIES = ("quality", "toxic")
 #: Labelled rows that the fit sees at most; features kept a category; folds.
-SAMPLE, KEPT, FOLDS = 6_000, 1_024, 4
+SAMPLE, KEPT, FOLDS = 5_000, 1_024, 4
 BUCKETS, STARTS = 1 << 20, (3, 4, 5, 6, 7)
 #: Least |z| of a feature's association with a category, and least documents that hold it.
 LEAST_Z, LEAST_DOCS = 4.0, 5
 N_DENSE, SHARES = 4, (0.005, 0.015)
+#: Words that a worker remembers with their features; those beyond are computed again.
+REMEMBERED = 300_000
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
@@ -168,9 +172,6 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order[i]] + below) / 2)
 
 
-_WORDS: dict[str, tuple[int, ...]] = {}
-
-
 def featurise(text: str | None, words_known: dict[str, tuple[int, ...]], of=word_features) -> tuple[np.ndarray, tuple[float, ...]]:
     """Sorted distinct features of a whole text and its dense features.
 
@@ -215,10 +216,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
     rows = rows.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", *categories).limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [featurise(t, _WORDS) for t in batch.column(1).to_pylist()]
-            if len(_WORDS) > 300_000:
-                _WORDS.clear()
+        known: dict[str, tuple[int, ...]] = {}
+        for batch in slices(batches):
+            if len(known) > REMEMBERED // 4:
+                known.clear()
+            made = [featurise(t, known) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([f.astype("<i4").tobytes() for f, _ in made], pa.binary()), pa.array([list(d) for _, d in made], pa.list_(pa.float64())), *batch.columns[2:]],
                 names=["doc_id", "features", "dense", *categories],
@@ -230,21 +232,17 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
     got = got.sort_values(["doc_id", *categories, "features"], ignore_index=True)
     features = common([np.frombuffer(b, "<i4") for b in got["features"]])
     dense = np.array(got["dense"].tolist()).reshape(-1, N_DENSE)
-    mixed = np.random.default_rng(seed).permutation(len(got))
-    return fit_chain([features[i] for i in mixed], dense[mixed], got[list(categories)].to_numpy()[mixed], categories)
-
-
-_SCORING: dict[str, tuple[set[int], dict[str, tuple[int, ...]]]] = {}
+    marks = got[list(categories)].to_numpy()
+    del got
+    mixed = np.random.default_rng(seed).permutation(len(marks))
+    return fit_chain([features[i] for i in mixed], dense[mixed], marks[mixed], categories)
 
 
 def _probabilities(sent, texts: list[str | None]) -> np.ndarray:
     """One column a category; this worker remembers words with the features the chain uses."""
     name, chain = sent.value
-    if name not in _SCORING:
-        _SCORING.clear()
-        _SCORING[name] = {f % BUCKETS for m in chain.models for f in m.kept.tolist()}, {}
-    useful, known = _SCORING[name]
-    if len(known) > 500_000:
+    useful, known = held(("toxicity", name), lambda: ({f % BUCKETS for m in chain.models for f in m.kept.tolist()}, {}))
+    if len(known) > REMEMBERED:
         known.clear()
     of = lambda w: tuple(f for f in word_features(w) if f in useful)
     made = [featurise(t, known, of) for t in texts]
@@ -260,7 +258,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, chain))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             p = _probabilities(sent, batch.column(1).to_pylist())
             columns, names = [batch.column(0)], ["doc_id"]
             for j, (c, limit) in enumerate(zip(chain_names, sent.value[1].thresholds)):
@@ -280,7 +278,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, category: str = "toxic") -> D
     j, text = chain.categories.index(category), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             p = _probabilities(sent, batch.column(text).to_pylist())
             yield batch.filter(pa.array(p[:, j] < sent.value[1].thresholds[j]))
 

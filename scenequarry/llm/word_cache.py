@@ -19,18 +19,15 @@ import struct
 
 import regex
 
-_WORKER: dict[tuple, "WordCache"] = {}
+from .shared import held
 
 #: The pattern of byte-level pre-tokenizers.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def cached_encoder(path: str, special_as_text: bool = True) -> "WordCache":
-    """This worker's encoder for ``path``; it lives as long as the worker."""
-    key = (path, special_as_text)
-    if key not in _WORKER:
-        _WORKER[key] = WordCache(path, special_as_text)
-    return _WORKER[key]
+    """This worker's encoder for ``path``."""
+    return held((WordCache, path, special_as_text), lambda: WordCache(path, special_as_text))
 
 
 def byte_alphabet() -> list[str]:
