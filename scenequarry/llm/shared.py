@@ -93,10 +93,11 @@ def salted_rank(df: DataFrame, keys: list[str], size: str, order: list[str], see
     """
     mixed = F.xxhash64(F.lit(seed), *order)
     dealt = df.withColumn("_bucket", F.pmod(mixed, F.ceil(F.sqrt(F.col(size))).cast("long")))
+    dealt = dealt.repartition(*keys, "_bucket")  # else a partitioning by the keys alone would do for all that follows
     counts = dealt.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     place = Window.partitionBy(*keys, "_bucket").orderBy(mixed, *order)
-    ranked = dealt.repartition(*keys, "_bucket").withColumn("_place", F.row_number().over(place) - 1)
+    ranked = dealt.withColumn("_place", F.row_number().over(place) - 1)
     joined = ranked.join(counts, [*keys, "_bucket"])
     return joined.withColumn("rank", F.col("_before") + F.col("_place")).drop("_bucket", "_place", "_before")
