@@ -103,7 +103,8 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     both = cut_lineage(both)
     if both.isEmpty():
         return both.sparkSession.createDataFrame([], "node long, root long")
-    label = cut_lineage(nodes.join(both.select("node").distinct(), "node", "left_semi").select("node", F.col("rank").alias("root")))
+    linked = both.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))  # summed before it is dealt: a hub has many links
+    label = cut_lineage(nodes.join(linked, "node").select("node", F.col("rank").alias("root")))
     owner = label.select(F.col("root").alias("at"), F.col("node").alias("owner"))
     while True:
         heard = both.join(label.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("root").alias("heard"))
@@ -128,11 +129,14 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     classes = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("rank")))
     found = components(links(classes.select("fp"), max_bits), classes.withColumnRenamed("fp", "node"))
     rooted = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "rank").alias("component_id"))
-    return marked.join(rooted, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(cut_lineage(rooted), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id leads its component; of repeated rows one stays."""
+    """The rows of ``docs`` whose doc_id leads its component; of rows that share a doc_id one stays.
+
+    Rows with a null doc_id are left out, as they can't lead.
+    """
     leaders = near_duplicates(docs, max_bits).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(leaders, "doc_id", "left_semi")
     return kept.dropDuplicates(["doc_id"])
