@@ -10,6 +10,7 @@ source and length, which spreads over buckets so that no task holds a source.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -139,8 +140,12 @@ def mix(docs: DataFrame, weigh: Callable[[list], dict] = cyclic_weights, share:
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with their columns."""
-    chosen = mix(docs, **how).where("times > 0").select("doc_id", "times")
-    times = chosen.groupBy("doc_id").agg(F.max("times").alias("_times"))
-    taken = docs.join(times, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return taken.select(*docs.columns)
+    """The rows of ``docs`` as often as the mix takes them, with their columns.
+
+    Rows that share a doc_id are taken as often as the one taken most; rows
+    with a null doc_id can't be told apart and are left out.
+    """
+    key, times, copy = (f"{n}_{uuid.uuid4().hex}" for n in ("key", "times", "copy"))  # clash with no column
+    chosen = mix(docs, **how).where("times > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max("times").alias(times))
+    taken = docs.join(chosen, docs["doc_id"] == F.col(key))
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias(copy)).drop(copy)

@@ -108,6 +108,13 @@ def test_mix(spark, docs, none):
         assert abs(sum(r["size"] * r.times for r in v) - v[0].target) <= min(r["size"] for r in v if r["size"]) + 1
     again = mixing.mix(docs.repartition(2)).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, rows))
+    clashing = docs.withColumn("times", docs.n_chars).withColumn("_copy", docs.lang)
+    copies = Counter(r.doc_id for r in mixing.mixed_documents(clashing).collect())
+    most = defaultdict(int)
+    for r in rows:
+        most[r.doc_id] = max(most[r.doc_id], r.times)
+    count = Counter(r.doc_id for r in rows)
+    assert copies == Counter({d: n * count[d] for d, n in most.items() if n})
     assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).columns == none.columns
 
 
