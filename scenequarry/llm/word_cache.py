@@ -16,6 +16,8 @@ import json
 import os
 import re
 import struct
+from collections.abc import Callable
+from functools import cache
 
 import regex
 
@@ -51,7 +53,8 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            ids = self.encoder.word(word)
+            plain = self.encoder.plain and word.isascii() and word.isalpha()
+            ids = self.encoder.letters(word) if plain else self.encoder.word(word)
         if len(word) <= self.encoder.longest:
             self[word] = ids
         return ids
@@ -70,7 +73,7 @@ class WordCache:
     still in use move over from the last one.
     """
 
-    def __init__(self, path: str, special_as_text: bool = True, limit: int = 400_000, longest: int = 200):
+    def __init__(self, path: str, special_as_text: bool = True, limit: int = 500_000, longest: int = 200):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -84,6 +87,7 @@ class WordCache:
         if self.kind == "dropped":
             self.words[""] = b""
         self.pattern = regex.compile(pattern) if special_as_text and pattern else None
+        self.plain = self.pattern is not None
         self.shown = dict(enumerate(byte_alphabet()))
         self.careful = re.compile(r"(?<=\S)(?= \S)")
 
@@ -121,6 +125,10 @@ class WordCache:
         except _Irregular:
             return b"".join(self.whole(self.careful.split(text)))
 
+    def letters(self, word: str) -> bytes:
+        """Ids of a word of ASCII letters, which is one pre-token and its own byte string."""
+        return _packed(self.model.tokenize(word.lower() if self.kind == "dropped" else self.shown[32] + word))
+
     def word(self, word: str) -> bytes:
         if self.kind == "dropped":
             return self.chunk(word) if word else b""
@@ -131,20 +139,34 @@ class WordCache:
     def chunk(self, chunk: str) -> bytes:
         """Ids of a text that stands alone: a word with at most one space or line break before it."""
         word = chunk[1:] if chunk[:1] in (" ", "\n") else chunk
-        if self.pattern is None or not word.isprintable() or not (word.isascii() or max(word) <= "\xff"):
+        if self.pattern is None or not (word.isascii() or max(word) <= "\xff"):
+            return self.whole([chunk])[0]
+        shown = chunk.lower() if self.kind == "dropped" else chunk
+        if word.isalpha() and chunk[0] != "\n":
+            cut = (shown,)
+        elif word.isprintable():
+            cut = self.pattern.findall(shown)
+        else:
             return self.whole([chunk])[0]
-        cut = self.pattern.findall(chunk.lower() if self.kind == "dropped" else chunk)
         return b"".join([self.parts[p] if p in self.parts else self._part(p) for p in cut])
 
     def _part(self, part: str) -> bytes:
         """Ids of one pre-token, given to the model in the byte alphabet."""
-        tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.shown))
-        ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        ids = _packed(self.model.tokenize(part.encode().decode("latin-1").translate(self.shown)))
         if len(part) <= self.longest:
             self.parts[part] = ids
         return ids
 
 
+@cache
+def _packer(n: int) -> Callable[..., bytes]:
+    return struct.Struct(f"<{n}I").pack
+
+
+def _packed(tokens: list) -> bytes:
+    return _packer(len(tokens))(*[t.id for t in tokens])
+
+
 def _clean(word: str) -> bool:
     return bool(word) and not word[0].isspace() and not word[-1].isspace()
 
