@@ -91,8 +91,8 @@ def fit_linear(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, kept: i
         return Linear(np.empty(0, np.int64), np.empty(0), np.zeros(dense.shape[1]), sure, mean, scale)
     where = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
     flat = np.concatenate(rows)
-    space = (2 + len(SHARES)) * BUCKETS
-    with_, pos = np.bincount(flat, minlength=space), np.bincount(flat, y[where], space)
+    space = int(flat.max(initial=0)) + 1
+    with_, pos = np.bincount(flat, minlength=space), np.bincount(np.concatenate([rows[i] for i in np.flatnonzero(y)]), minlength=space)
     names = np.flatnonzero(with_ >= LEAST_DOCS)
     with_, pos = with_[names], pos[names]
     a, b, c, d = pos + 0.5, with_ - pos + 0.5, positive - pos + 0.5, n - positive - with_ + pos + 0.5
@@ -123,7 +123,7 @@ def fit_linear(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, kept: i
         ahead = new + i / (i + 3) * (new - w)
         w = new
     w, k = w / size, len(chosen)
-    return Linear(chosen, w[:k].astype(float), w[k:-1].astype(float), float(w[-1]), mean, scale)
+    return Linear(chosen.astype(np.int64), w[:k].astype(float), w[k:-1].astype(float), float(w[-1]), mean, scale)
 
 
 @dataclass
@@ -198,13 +198,14 @@ def featurise(text: str | None, words_known: dict[str, tuple[int, ...]], of=word
     return np.array(sorted(out), np.int64), dense_features(text, words)
 
 
-def common(rows: list[np.ndarray]) -> list[np.ndarray]:
-    """The rows without features that fewer than ``LEAST_DOCS`` of them hold."""
+def common(rows: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The features that at least ``LEAST_DOCS`` rows hold, and the rows as indexes into them."""
     seen = np.zeros((2 + len(SHARES)) * BUCKETS, np.int32)
     for r in rows:
         seen[r] += 1
     often = seen >= LEAST_DOCS
-    return [r[often[r]] for r in rows]
+    index = np.cumsum(often, dtype=np.int32) - 1
+    return np.flatnonzero(often), [index[r[often[r]]] for r in rows]
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, sample: int = SAMPLE, seed: int = 5) -> Chain:
@@ -230,12 +231,15 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
     joined = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
     got = joined.select("doc_id", "text", *(F.col(c).cast("int") for c in categories)).mapInArrow(run, schema).toPandas()
     got = got.sort_values(["doc_id", *categories, "features"], ignore_index=True)
-    features = common([np.frombuffer(b, "<i4") for b in got["features"]])
+    names, features = common([np.frombuffer(b, "<i4") for b in got["features"]])
     dense = np.array(got["dense"].tolist()).reshape(-1, N_DENSE)
     marks = got[list(categories)].to_numpy()
     del got
     mixed = np.random.default_rng(seed).permutation(len(marks))
-    return fit_chain([features[i] for i in mixed], dense[mixed], marks[mixed], categories)
+    chain = fit_chain([features[i] for i in mixed], dense[mixed], marks[mixed], categories)
+    for model in chain.models:
+        model.kept = names[model.kept]
+    return chain
 
 
 def _probabilities(sent, texts: list[str | None]) -> np.ndarray:
