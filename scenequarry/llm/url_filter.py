@@ -47,14 +47,14 @@ class Bloom:
         self.m = max(64, int(math.ceil(-n * math.log(rate) / math.log(2) ** 2)))
         self.k = max(1, round(self.m / n * math.log(2)))
         self.k = min(self.k, max(1, math.ceil(-math.log2(rate))))
-        self.salt = np.uint64(salt)
+        self.salt = np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         bits = np.zeros(self.m, bool)
         for at in self._places(hashes):
             bits[at] = True
         self.bits = np.packbits(bits, bitorder="little")
 
     def _places(self, hashes: np.ndarray) -> Iterator[np.ndarray]:
-        a = _mixed(hashes ^ (self.salt * np.uint64(0x9E3779B97F4A7C15)))
+        a = _mixed(hashes ^ self.salt)
         b = _mixed(a) | np.uint64(1)
         for i in range(self.k):
             yield ((a + np.uint64(i) * b) % np.uint64(self.m)).astype(np.int64)
