@@ -775,9 +775,9 @@ def voxel_interpolate(v):
 # -- assignment
 
 
-def pair_inputs(v) -> tuple[DataFrame, DataFrame]:
-    """Logits of the coarse masks as queries, instances as targets."""
-    m = v.masks.where("mask_id < 1000").select("scene_id", F.col("mask_id").cast("long").alias("q"), "point_id", ((F.col("point_id") * 7 + F.col("mask_id")) % 11 - 5).cast("double").alias("logit"))
+def pair_inputs(v, which: str = "mask_id < 1000") -> tuple[DataFrame, DataFrame]:
+    """Logits of masks (the coarse ones, as PAIR_SQL has it) as queries, instances as targets."""
+    m = v.masks.where(which).select("scene_id", F.col("mask_id").cast("long").alias("q"), "point_id", ((F.col("point_id") * 7 + F.col("mask_id")) % 11 - 5).cast("double").alias("logit"))
     return m.withColumn("p", geometry.sigmoid(F.col("logit"))), v.gt.select("scene_id", F.col("gt_id").alias("t"), "point_id")
 
 
@@ -801,7 +801,7 @@ def bce_cost_matrix(v):
 
 @query()
 def hungarian(v):
-    s, t = pair_inputs(v)
+    s, t = pair_inputs(v, "true")
     return rounded(assign.hungarian(assign.total_costs({5.0: assign.bce_costs(s, t), 2.0: assign.dice_costs(s, t)})), "cost")
 
 
