@@ -18,11 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD_PATTERN, cut_lineage, salted_rank
+from .shared import WORD_PATTERN, cut_lineage, row_keys, salted_rank
 
-SHARE, MOST = 1.5, 2
-#: The dynamic program's budget, in words; what is above it goes by share and by largest length.
-DP_BUDGET = 50_000
+SHARE, MOST, ORDER_SEED = 1.5, 2, 19
 
 
 def cyclic_weights(sources: list[str | None], cycle: tuple[float, ...] = (3, 1, 2)) -> dict[str | None, float]:
@@ -48,11 +46,14 @@ def targets(sizes: dict[str | None, int], weights: dict[str | None, float], shar
     return out
 
 
-def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_budget: int = DP_BUDGET) -> np.ndarray:
+def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take, at most ``counts``, so that the words come near ``budget``.
 
-    The sum never exceeds the budget; it is the best possible over what the
-    dynamic program sees.
+    The sum never exceeds the budget. The dynamic program has the last words,
+    two to three times the longest length, so that even the longest documents
+    can still be swapped for others; what is above goes by share. Where no
+    more than that is left after the share, the sum is the best possible over
+    all that the share did not take.
     """
     taken = np.zeros_like(counts)
     usable = (lengths > 0) & (counts > 0)
@@ -60,28 +61,31 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_budget:
     budget = min(int(budget), total)
     if budget <= 0 or not total:
         return taken
-    taken[usable] = (counts[usable].astype(object) * budget // total).astype(np.int64)
+    window = 2 * int(lengths[usable].max())
+    # A share of what is above the window alone: else a few long documents could be fixed before the program sees them.
+    spread = max(0, budget - window)
+    exact = counts[usable].astype(object) * spread
+    taken[usable] = (exact // total).astype(np.int64)
+    short = np.zeros(len(lengths))
+    short[usable] = (exact % total / total).astype(float)
     rest = budget - int((lengths * taken).sum())
-    order = np.argsort(-lengths, kind="stable")
-    for i in order:
-        if rest <= dp_budget:
-            break
-        if usable[i]:
-            n = min(int(counts[i] - taken[i]), (rest - dp_budget) // int(lengths[i]) + 1, rest // int(lengths[i]))
-            taken[i] += n
-            rest -= n * int(lengths[i])
-    return taken + _knapsack(lengths, np.where(usable, counts - taken, 0), min(rest, dp_budget))
+    for i in np.lexsort((-lengths, -short)):
+        if usable[i] and taken[i] < counts[i] and rest - int(lengths[i]) >= window:
+            taken[i] += 1
+            rest -= int(lengths[i])
+    return taken + _knapsack(lengths, np.where(usable, counts - taken, 0), rest)
 
 
 def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """Bounded knapsack for the largest sum up to ``budget``: counts split into powers of two;
-    each sum remembers the lot that reached it first, so lots are used at most once."""
+    each sum remembers the lot that reached it first, so lots are used at most once. Lengths
+    come in a seeded order, so that none is preferred for being short or long."""
     take = np.zeros_like(counts)
     reached = np.zeros(budget + 1, bool)
     reached[0] = True
     via = np.full(budget + 1, -1)
     lots: list[tuple[int, int]] = []
-    for i in np.flatnonzero((counts > 0) & (lengths <= budget)):
+    for i in np.random.default_rng(ORDER_SEED).permutation(np.flatnonzero((counts > 0) & (lengths <= budget))):
         n, k = min(int(counts[i]), budget // int(lengths[i])), 1
         while n and not reached[budget]:
             k = min(k, n)
@@ -105,17 +109,19 @@ def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarra
 def mix(docs: DataFrame, weigh: Callable[[list], dict] = cyclic_weights, share: float = SHARE, most: int = MOST, seed: int = 11, keep: list[str] | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, source, size, source_size, target and ``times`` (how often the mix takes it).
 
-    ``most`` is a whole number: no document is taken more often. A null text
-    has size 0 and a null source is a source of its own. Rows that repeat a
-    doc_id count as documents of their own; those alike in doc_id, source and
-    size are interchangeable. An empty table gives no rows. One row a source
-    comes to the driver: the weights are the mixture's configuration, and it
-    has one entry a source in any case.
+    ``most`` is a whole number: no document is taken more often. Whole texts
+    count; a null text has size 0 and a null source is a source of its own.
+    Rows that repeat a doc_id, or have a null one, count as documents of their
+    own; those alike in doc_id, source, size and ``keep`` are interchangeable.
+    Columns other than those and ``keep`` are ignored. An empty table gives no
+    rows. One row a source comes to the driver: the weights are the mixture's
+    configuration, and it has one entry a source in any case.
     """
     spark = docs.sparkSession
+    keep = keep or []
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     key = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source"))).alias("_key")
-    sized = cut_lineage(docs.select("doc_id", key, size.alias("size"), *(keep or [])))
+    sized = cut_lineage(docs.select("doc_id", key, size.alias("size"), *keep))
     histogram = cut_lineage(sized.groupBy("_key", "size").agg(F.count(F.lit(1)).alias("_n")))
     totals = {r[0]: int(r[1]) for r in histogram.groupBy("_key").agg(F.sum(F.col("size") * F.col("_n"))).collect()}
     name = lambda k: None if k == "n" else k[1:]
@@ -133,19 +139,21 @@ def mix(docs: DataFrame, weigh: Callable[[list], dict] = cyclic_weights, share:
         return lot.assign(_passes=passes, _extra=extra)
 
     plan = histogram.join(source, "_key").groupBy("_key").applyInPandas(fit, "_key string, size long, _n long, source_size long, target double, _passes long, _extra long")
-    ranked = salted_rank(sized.join(cut_lineage(plan), ["_key", "size"]), ["_key", "size"], "_n", ["doc_id"], seed)
+    ranked = salted_rank(sized.join(cut_lineage(plan), ["_key", "size"]), ["_key", "size"], "_n", ["doc_id", *keep], seed)
     times = F.col("_passes") + (F.col("rank") < F.col("_extra")).cast("long")
     named = F.when(F.col("_key") != "n", F.expr("substring(_key, 2)")).alias("source")
-    return ranked.select("doc_id", named, "size", "source_size", "target", times.alias("times"), *(keep or []))
+    return ranked.select("doc_id", named, "size", "source_size", "target", times.alias("times"), *keep)
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with their columns.
 
-    Rows that share a doc_id are taken as often as the one taken most; rows
-    with a null doc_id can't be told apart and are left out.
+    Rows are told apart by two hashes of all their columns, so that rows which
+    share a doc_id or have a null one are each taken as often as ``mix`` says;
+    rows alike in every column are taken as often as all of them together.
     """
-    key, times, copy = (f"{n}_{uuid.uuid4().hex}" for n in ("key", "times", "copy"))  # clash with no column
-    chosen = mix(docs, **how).where("times > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max("times").alias(times))
-    taken = docs.join(chosen, docs["doc_id"] == F.col(key))
+    a, b, times, copy = (f"{n}_{uuid.uuid4().hex}" for n in ("a", "b", "times", "copy"))  # clash with no column
+    keyed = docs.withColumns(dict(zip((a, b), row_keys(docs.columns))))
+    chosen = mix(keyed, keep=[a, b], **how).where("times > 0").groupBy(a, b).agg(F.sum("times").alias(times))
+    taken = keyed.dropDuplicates([a, b]).join(chosen, [a, b])
     return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias(copy)).drop(copy)

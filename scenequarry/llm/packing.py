@@ -29,7 +29,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 MAX_PATTERNS, STEPS = 60_000, 300
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, special_as_text: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, special_as_text: bool = False) -> DataFrame:
     """Cut each document's ids into pieces; only the first may be shorter than ``capacity``.
 
     A null or empty text has the end id alone. Repeated rows stay repeated.

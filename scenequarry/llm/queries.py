@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import audio, html_crf, mixing, mtree, packing, simhash, token_counts, token_files, toxicity, url_filter
 from .shared import scratch
 
-TOKENIZER_DIR = "/opt/tokenizers"
-WORD_BPE, BYTE_BPE = f"{TOKENIZER_DIR}/word_bpe_49k.json", f"{TOKENIZER_DIR}/byte_bpe_50k.json"
+WORD_BPE, BYTE_BPE = map(public_tokenizers.path, ("word_bpe_49k.json", "byte_bpe_50k.json"))
 #: The rules that the url query judges by.
 RULES = (
     url_filter.Rule("com/en/", "block"),

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of bytes other than these six (the white space of ASCII).
@@ -19,11 +19,14 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) one is made under the
-    local temporary folder and set on the session.
+    Only where the setting is absent and the master is local (tests, a laptop)
+    one is made under the local temporary folder and set on the session; on a
+    cluster a missing setting is an error, as no local folder is shared.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="scenequarry-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -82,22 +85,47 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def row_keys(columns: list[str], seed: int = 42) -> list[Column]:
+    """Two 64-bit hashes of all ``columns``, nulls told apart: rows that agree in both are taken as the same row."""
+    parts = [c for name in columns for c in (F.isnull(F.col(f"`{name}`")), F.col(f"`{name}`"))]
+    return [F.xxhash64(F.lit(seed + i), *parts) for i in (0, 1)]
+
+
+def remove(spark: SparkSession, uri: str) -> None:
+    """Delete a folder that no later read needs, through the file system that Spark uses for it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Alike rows that are ranked as one lot.
+LOT = 8192
+
+
 def salted_rank(df: DataFrame, keys: list[str], size: str, order: list[str], seed: int) -> DataFrame:
     """Add ``rank`` (from 0, unique within ``keys``) without gathering a key in one task.
 
-    ``size`` names a column holding the key's row count n. Rows go to about
-    sqrt(n) seeded buckets; a row's rank is the count in earlier buckets plus
-    its place in its own, so neither step holds more than about sqrt(n) rows
-    of one key. The rank depends on values only, never on partitions. Rows
-    that agree in all of ``order`` are interchangeable.
+    ``size`` names a column holding the key's row count n. Rows alike in all
+    columns are interchangeable: they are counted first and ranked in lots of
+    at most ``LOT``, so that a row that occurs very often makes no hot task.
+    Lots go to about sqrt(n) seeded buckets; a row's rank is the count in
+    earlier buckets plus its place in its own, so neither step holds more than
+    about sqrt(n) lots of one key. The rank depends on values only, never on
+    partitions; ``order`` must tell unlike rows apart, or the tie between them
+    is broken by their remaining columns.
     """
-    mixed = F.xxhash64(F.lit(seed), *order)
-    dealt = df.withColumn("_bucket", F.pmod(mixed, F.ceil(F.sqrt(F.col(size))).cast("long")))
+    columns = df.columns
+    rest = [c for c in columns if c not in keys and c not in order and c != size]
+    alike = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_alike"))
+    lots = alike.withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_alike") - 1) / LOT))))
+    lots = lots.withColumn("_rows", F.least(F.col("_alike") - F.col("_lot") * LOT, F.lit(LOT).cast("long"))).drop("_alike")
+    mixed = F.xxhash64(F.lit(seed), *order, "_lot")
+    dealt = lots.withColumn("_bucket", F.pmod(mixed, F.ceil(F.sqrt(F.col(size))).cast("long")))
     dealt = dealt.repartition(*keys, "_bucket")  # else a partitioning by the keys alone would do for all that follows
-    counts = dealt.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    counts = dealt.groupBy(*keys, "_bucket").agg(F.sum("_rows").alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    place = Window.partitionBy(*keys, "_bucket").orderBy(mixed, *order)
-    ranked = dealt.withColumn("_place", F.row_number().over(place) - 1)
+    place = Window.partitionBy(*keys, "_bucket").orderBy(mixed, *order, "_lot", *rest).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = dealt.withColumn("_place", F.coalesce(F.sum("_rows").over(place), F.lit(0)))
     joined = ranked.join(counts, [*keys, "_bucket"])
-    return joined.withColumn("rank", F.col("_before") + F.col("_place")).drop("_bucket", "_place", "_before")
+    first = F.col("_before") + F.col("_place")
+    return joined.select(*columns, F.explode(F.sequence(first, first + F.col("_rows") - 1)).alias("rank"))

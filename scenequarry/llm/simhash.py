@@ -17,7 +17,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut_lineage, held, slices
@@ -75,42 +75,62 @@ def _segment(value: Column, i: int, mask: int) -> Column:
 
 
 def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Pairs (a < b) of distinct fingerprints that differ in 1 to ``max_bits`` (at most 2) bits."""
+    """Pairs (a < b) of distinct fingerprints that differ in 1 to ``max_bits`` (at most 2) bits.
+
+    Each pair comes out of one cell alone: the home of both if they share it,
+    the home of a if the homes are neighbours, else the lesser of the one or
+    two cells between the homes (whose sum is that of the homes).
+    """
     if not 1 <= max_bits <= 2:
         raise ValueError("meeting points hold for a distance of 1 or 2")
-    home = distinct.select("fp", segment_counts(F.col("fp")).alias("cell"))
+    home = distinct.select("fp", segment_counts(F.col("fp")).alias("home"))
     unit = [F.lit(1 << (SEGMENT_BITS * i)) for i in range(SEGMENTS)]
-    count = [_segment(F.col("cell"), i, 7) for i in range(SEGMENTS)]
-    beside = [F.when(c < SEGMENT_BITS, F.col("cell") + u) for c, u in zip(count, unit)]
-    beside += [F.when(c > 0, F.col("cell") - u) for c, u in zip(count, unit)]
-    met = home.select("fp", F.explode(F.array_compact(F.array(F.col("cell"), *beside))).alias("cell"))
-    crowded = met.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell")
-    met = cut_lineage(met.join(crowded, "cell", "left_semi"))
-    a, b = met.select("cell", F.col("fp").alias("a")), met.select("cell", F.col("fp").alias("b"))
+    count = [_segment(F.col("home"), i, 7) for i in range(SEGMENTS)]
+    beside = [F.when(c < SEGMENT_BITS, F.col("home") + u) for c, u in zip(count, unit)]
+    beside += [F.when(c > 0, F.col("home") - u) for c, u in zip(count, unit)]
+    met = home.select("fp", "home", F.explode(F.array_compact(F.array(F.col("home"), *beside))).alias("cell"))
+    crowd = Window.partitionBy("cell")
+    met = met.withColumn("n", F.count(F.lit(1)).over(crowd)).where("n > 1").drop("n")
+    met = cut_lineage(met)
+    a, b = (met.select("cell", F.col("fp").alias(x), F.col("home").alias(f"home_{x}")) for x in "ab")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    return a.join(b, "cell").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    at_a, at_b = F.col("cell") == F.col("home_a"), F.col("cell") == F.col("home_b")
+    between = ~at_b & (F.col("home_a") != F.col("home_b")) & (F.col("cell") - F.col("home_a") <= F.col("home_b") - F.col("cell"))
+    return a.join(b, "cell").where((F.col("a") < F.col("b")) & (at_a | between) & near).select("a", "b")
+
+
+#: Links of a node from which on its label is dealt to several tasks; nodes of so many links that are broadcast.
+HUB, HUBS_SENT = 256, 500_000
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, root) for every node with an edge: ``root`` is the component's least ``rank``.
 
-    ``nodes`` has node and rank (its starting label). Each round takes the least
-    label among neighbours and then jumps through the label's own label, so
-    rounds grow with the logarithm of a component's diameter. Everything stays
-    distributed; rounds are cut off in the shared folder.
+    ``nodes`` has node and rank (its starting label, unlike any other's). Each
+    round takes the least label among neighbours and then jumps through the
+    label's own label, so rounds grow with the logarithm of a component's
+    diameter. Everything stays distributed; rounds are cut off in the shared
+    folder. A node with many links is salted: its links are dealt by their
+    other end, and its label is sent to each of their tasks.
     """
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
     both = cut_lineage(both)
-    if both.isEmpty():
-        return both.sparkSession.createDataFrame([], "node long, root long")
-    linked = both.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))  # summed before it is dealt: a hub has many links
+    linked = cut_lineage(both.groupBy("node").agg(F.count(F.lit(1)).alias("degree")))  # summed before it is dealt
+    hubs = linked.where(F.col("degree") > HUB).select("node", F.ceil(F.col("degree") / HUB).cast("int").alias("salts"))
+    if 0 < hubs.count() <= HUBS_SENT:  # one row in HUB links at most; checked, and joined by shuffle beyond
+        hubs = F.broadcast(hubs)
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = both.join(hubs.withColumnRenamed("node", "other"), "other", "left")
+    dealt = cut_lineage(dealt.select("node", "other", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt")))
     label = cut_lineage(nodes.join(linked, "node").select("node", F.col("rank").alias("root")))
     owner = label.select(F.col("root").alias("at"), F.col("node").alias("owner"))
     while True:
-        heard = both.join(label.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("root").alias("heard"))
+        told = label.join(hubs, "node", "left").select(F.col("node").alias("other"), "root", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        heard = dealt.join(told, ["other", "salt"]).groupBy("node").agg(F.min("root").alias("heard"))
         least = label.join(heard, "node").select("node", F.col("root").alias("was"), F.least("root", "heard").alias("root"))
-        jump = owner.join(least.select(F.col("node").alias("owner"), F.col("root").alias("onward")), "owner").select("at", "onward")
-        new = cut_lineage(least.join(jump, F.col("root") == F.col("at")).select("node", "was", F.least("root", "onward").alias("root")))
+        # A label's owner is asked for its own label: once for each label, not once for each node that holds it.
+        jump = owner.join(least.select(F.col("node").alias("owner"), F.col("root").alias("onward")), "owner").select("at", "onward").where("onward < at")
+        new = cut_lineage(least.join(jump, F.col("root") == F.col("at"), "left").select("node", "was", F.least("root", F.coalesce("onward", "root")).alias("root")))
         changed = new.where("root < was").limit(1).count()
         label = new.select("node", "root")
         if not changed:
@@ -123,20 +143,15 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     Fingerprints link at ``max_bits`` or fewer differing bits, equal ones
     included; component_id is the least doc_id that can be reached. Null,
     empty and wordless texts share fingerprint zero and link like any other.
-    Rows that repeat a doc_id repeat. Rows with a null doc_id are left out.
+    Whole texts count, however long. Rows that repeat a doc_id repeat, each
+    with its own text's component. A row with a null doc_id links too; where
+    a component has no other rows, its component_id is null. An empty table
+    gives no rows, other columns are ignored.
     """
-    marked = cut_lineage(fingerprints(docs).where("doc_id is not null"))
-    classes = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("rank")))
+    marked = cut_lineage(fingerprints(docs))
+    rank = F.struct(F.isnull(F.min("doc_id")).alias("last"), F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc_id"), F.col("fp").alias("fp"))
+    classes = cut_lineage(marked.groupBy("fp").agg(rank.alias("rank")))
     found = components(links(classes.select("fp"), max_bits), classes.withColumnRenamed("fp", "node"))
-    rooted = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "rank").alias("component_id"))
+    root = F.coalesce("root", "rank")
+    rooted = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.when(~root["last"], root["doc_id"]).alias("component_id"))
     return marked.join(cut_lineage(rooted), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id leads its component; of rows that share a doc_id one stays.
-
-    Rows with a null doc_id are left out, as they can't lead.
-    """
-    leaders = near_duplicates(docs, max_bits).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(leaders, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"])

@@ -110,7 +110,7 @@ class TokenShard:
             yield parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else flat[:0]
 
 
-def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, seq_len: int = SEQ_LEN, special_as_text: bool = True) -> DataFrame:
+def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, seq_len: int = SEQ_LEN, special_as_text: bool = False) -> DataFrame:
     """Write ``docs`` (doc_id, text) below ``out``; return the manifest with ``first_token``.
 
     One range shuffle puts documents in order; AQE sets the number of shards.

@@ -27,7 +27,7 @@ from .shared import held
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def cached_encoder(path: str, special_as_text: bool = True) -> "WordCache":
+def cached_encoder(path: str, special_as_text: bool = False) -> "WordCache":
     """This worker's encoder for ``path``."""
     return held((WordCache, path, special_as_text), lambda: WordCache(path, special_as_text))
 
@@ -68,12 +68,13 @@ class WordCache:
     """Encode texts to little-endian unsigned 32-bit ids.
 
     ``special_as_text``: the strings of special tokens within a text count as
-    ordinary text. ``limit`` bounds the words remembered, none of which is
+    ordinary text; else, as in the library by default, they become those
+    tokens, and a text that holds one is encoded whole. ``limit`` bounds the words remembered, none of which is
     longer than ``longest``: at the limit a new generation starts, and words
     still in use move over from the last one.
     """
 
-    def __init__(self, path: str, special_as_text: bool = True, limit: int = 500_000, longest: int = 200):
+    def __init__(self, path: str, special_as_text: bool = False, limit: int = 500_000, longest: int = 200):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -86,7 +87,10 @@ class WordCache:
         self.words, self.parts = _Words(self, {}), {}
         if self.kind == "dropped":
             self.words[""] = b""
-        self.pattern = regex.compile(pattern) if special_as_text and pattern else None
+        self.pattern = regex.compile(pattern) if pattern else None
+        added = [] if special_as_text else list(self.tokenizer.get_added_tokens_decoder().values())
+        any_case = re.I if any(t.normalized for t in added) else 0
+        self.added = re.compile("|".join(re.escape(t.content) for t in added), any_case).search if added else lambda text: None
         self.plain = self.pattern is not None
         self.shown = dict(enumerate(byte_alphabet()))
         self.careful = re.compile(r"(?<=\S)(?= \S)")
@@ -100,7 +104,8 @@ class WordCache:
             return self.whole(texts)
         gc.disable()  # a collection would walk all the words, which form no cycles
         try:
-            return list(map(self._dropped if self.kind == "dropped" else self._joined, texts))
+            cut = self._dropped if self.kind == "dropped" else self._joined
+            return [self.whole([t])[0] if self.added(t) else cut(t) for t in texts]
         finally:
             gc.enable()
 

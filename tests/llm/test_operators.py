@@ -4,13 +4,15 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
-from scenequarry.llm import audio, html_crf, mixing, mtree, packing, simhash, token_counts, token_files, toxicity, url_filter
+from scenequarry.llm import audio, html_crf, mixing, mtree, packing, shared, simhash, token_counts, token_files, toxicity, url_filter
 from scenequarry.llm.queries import BYTE_BPE, RULES, WORD_BPE
 from scenequarry.llm.shared import scratch
 from scenequarry.llm.word_cache import WordCache
@@ -40,17 +42,25 @@ def none(spark):
     return spark.createDataFrame([], DOCS)
 
 
+@cache
+def bare(path):
+    return Tokenizer.from_file(path)
+
+
 def ids_of(path, text, end):
-    coder = WordCache(path)
-    return np.append(np.frombuffer(coder.whole([text or ""])[0], "<u4"), end).astype("<u4")
+    """Ids by the library alone, without a setting."""
+    return np.array([*bare(path).encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
 @pytest.mark.parametrize("path", [WORD_BPE, BYTE_BPE])
 def test_word_cache_equals_whole_texts(path, texts):
-    coder = WordCache(path, limit=50)
     sample = [t or "" for t in texts]
-    assert coder.encode(sample) == coder.whole(sample)
-    assert coder.encode(sample[::-1]) == coder.whole(sample[::-1])
+    sample += ["hello <|endoftext|> world", "<|endoftext|>", "a <|ENDOFTEXT|> b", "x <|startoftext|><|endoftext|>\ny", "<| endoftext |>"]
+    coder = WordCache(path, limit=50)
+    want = [ids_of(path, t, 0)[:-1].tobytes() for t in sample]
+    assert coder.encode(sample) == want and coder.encode(sample[::-1]) == want[::-1]
+    as_text = WordCache(path, special_as_text=True)
+    assert as_text.encode(sample) == as_text.whole(sample) != want
 
 
 def test_token_files(spark, docs, none):
@@ -90,8 +100,25 @@ def test_fit_counts_is_the_best_subset_sum(seed):
     for x, c in zip(lengths, counts):
         sums = {s + x * k for s in sums for k in range(c + 1)}
     assert (taken <= counts).all() and (taken * lengths).sum() == max(s for s in sums if s <= budget)
-    fitted = mixing.fit_counts(lengths, counts, budget, dp_budget=40)
-    assert (fitted <= counts).all() and 0 <= budget - (fitted * lengths).sum() <= 60
+    fitted = mixing.fit_counts(lengths, counts, budget)
+    total = int((lengths * counts).sum())
+    best = max((x for x in sums if x <= budget), default=0)
+    assert (0 <= fitted).all() and (fitted <= counts).all() and (fitted * lengths).sum() <= budget
+    if budget <= 2 * lengths.max():  # nothing was fixed before the program saw it
+        assert (fitted * lengths).sum() == best
+    assert best - (fitted * lengths).sum() <= lengths.min() or total == 0
+
+
+def test_fit_counts_swaps_long_documents_and_shares_by_length():
+    long = np.array([60_000, 70_000, 80_000])
+    assert mixing.fit_counts(long, np.ones(3, int), 130_000).tolist() == [1, 1, 0]
+    rng = np.random.default_rng(8)
+    lengths = np.unique(rng.integers(1, 20_000, 3000))
+    counts = rng.integers(1, 40, len(lengths))
+    budget = int((lengths * counts).sum() * 0.37)
+    fitted = mixing.fit_counts(lengths, counts, budget)
+    assert (fitted * lengths).sum() == budget and (fitted <= counts).all()
+    assert np.abs(fitted - 0.37 * counts).max() < 3
 
 
 def test_mix(spark, docs, none):
@@ -109,12 +136,12 @@ def test_mix(spark, docs, none):
     again = mixing.mix(docs.repartition(2)).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, rows))
     clashing = docs.withColumn("times", docs.n_chars).withColumn("_copy", docs.lang)
-    copies = Counter(r.doc_id for r in mixing.mixed_documents(clashing).collect())
-    most = defaultdict(int)
-    for r in rows:
-        most[r.doc_id] = max(most[r.doc_id], r.times)
-    count = Counter(r.doc_id for r in rows)
-    assert copies == Counter({d: n * count[d] for d, n in most.items() if n})
+    copies = mixing.mixed_documents(clashing).collect()
+    assert set(map(tuple, copies)) <= set(map(tuple, clashing.collect()))
+    words = defaultdict(int)
+    for r in copies:
+        words[r.source] += size[r.doc_id]
+    assert words == {s: w for s, v in by.items() if (w := sum(r["size"] * r.times for r in v))}
     assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).columns == none.columns
 
 
@@ -408,11 +435,35 @@ def test_near_duplicates(spark, docs, none):
     rows = simhash.near_duplicates(docs).collect()
     assert len(rows) == docs.count()
     assert all((int(r.fingerprint, 16), r.component_id) == (fps[r.doc_id], want[r.doc_id]) for r in rows)
-    kept = simhash.keep_one(docs)
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and kept.columns == docs.columns
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_keep_rows_without_or_with_the_same_doc_id(spark):
+    a, b, c = ("alpha beta gamma delta", "one two three four", "lost row without a copy")
+    rows = [(1, a), (1, b), (2, b), (2, b), (None, c), (None, a), (None, None), (7, ""), (None, "\n")]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = {a: 1, b: 1, c: None, None: 7, "": 7, "\n": 7}
+    assert Counter((r.doc_id, int(r.fingerprint, 16), r.component_id) for r in found) == Counter((d, plain_fingerprint(t), want[t]) for d, t in rows)
+
+
+def test_hubs_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HUB", 3)
+    star = [(0, i) for i in range(1, 40)] + [(40, 41), (41, 42)]
+    edges = spark.createDataFrame(star, "a long, b long")
+    nodes = spark.createDataFrame([(i, 100 - i) for i in range(50)], "node long, rank long")
+    got = {r.node: r.root for r in simhash.components(edges, nodes).collect()}
+    assert got == {i: 61 if i < 40 else 58 for i in range(43)}
+    assert simhash.components(edges.limit(0), nodes).count() == 0
+
+
+def test_salted_rank_of_alike_rows(spark, monkeypatch):
+    monkeypatch.setattr(shared, "LOT", 4)
+    rows = [("k", None, 30)] * 21 + [("k", i, 30) for i in range(9)] + [("l", 1, 1)]
+    ranked = shared.salted_rank(spark.createDataFrame(rows, "key string, id long, n long"), ["key"], "n", ["id"], 1).collect()
+    assert Counter((r.key, r.id, r.n) for r in ranked) == Counter(rows)
+    assert sorted(r["rank"] for r in ranked if r.key == "k") == list(range(30))
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_links_and_components_of_planted_fingerprints(spark, seed):
     rng = np.random.default_rng(seed)

@@ -7,14 +7,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
-import numpy as np
 import pytest
 
 import corpus_pipeline
-from scenequarry.llm import mixing, queries, simhash, toxicity
-from scenequarry.llm.word_cache import WordCache
+from scenequarry.llm import mixing, queries, toxicity
 
-from .test_operators import judged, plain_components, plain_fingerprint
+from .test_near_copies import plain_leaders
+from .test_operators import ids_of, judged, plain_components, plain_fingerprint
 
 
 @pytest.fixture(scope="module")
@@ -36,8 +35,7 @@ def duck(sf):
     return c
 
 
-def ids(path, text, end):
-    return np.append(np.frombuffer(WordCache(path).whole([text])[0], "<u4"), end).astype("<u4")
+ids = ids_of
 
 
 def plain(rows):
@@ -60,6 +58,13 @@ def test_op1(run, documents):
         at += len(own)
 
 
+def subset_sums(sizes):
+    sums = {0}
+    for n in sizes:
+        sums |= {x + n for x in sums}
+    return sums
+
+
 def test_op2(run, documents):
     rows = run(2).collect()
     by = defaultdict(list)
@@ -70,10 +75,7 @@ def test_op2(run, documents):
     assert len(rows) == len(documents) and sum(want.values()) == pytest.approx(1.5 * sum(r["size"] for r in rows))
     for s, v in by.items():
         whole, budget = sum(r["size"] for r in v), round(want[s])
-        sums = {0}
-        for r in v:
-            sums |= {x + r["size"] for x in sums}
-        best = budget // whole * whole + max(x for x in sums if x <= budget % whole)
+        best = budget // whole * whole + max(x for x in subset_sums([r["size"] for r in v]) if x <= budget % whole)
         assert v[0].target == want[s] and best - min(r["size"] for r in v if r["size"]) <= sum(r.taken for r in v) <= budget
 
 
@@ -167,10 +169,19 @@ def test_pipeline_stage_by_stage(spark, sf, tmp_path):
     chain = toxicity.train(start, spark.read.parquet(f"{sf}/labels.parquet"))
     fine = {r.doc_id for r in toxicity.score(start, chain).where("toxic = 0").collect()}
     assert {r.doc_id for r in clean.collect()} == fine and len(fine) < start.count()
-    want = plain_components({r.doc_id: simhash.fingerprint(r.text) & (1 << 64) - 1 for r in clean.collect()})
-    assert sorted(r.doc_id for r in single.collect()) == sorted(set(want.values()))
-    times = {r.doc_id: r.times for r in mixing.mix(single).collect()}
-    assert Counter(r.doc_id for r in mixed.collect()) == Counter({d: n for d, n in times.items() if n})
+    want = plain_leaders([(r.doc_id, r.text, r.source) for r in clean.collect()])
+    assert sorted(r.doc_id for r in single.collect()) == want and len(want) < clean.count()
+    size = {r.doc_id: len((r.text or "").encode().split()) for r in single.collect()}
+    by, taken = defaultdict(list), defaultdict(int)
+    for r in single.collect():
+        by[r.source].append(size[r.doc_id])
+    for r in mixed.collect():
+        taken[r.source] += size[r.doc_id]
+    wanted = mixing.targets({s: sum(v) for s, v in by.items()}, mixing.cyclic_weights(list(by)))
+    for s, v in by.items():
+        best = round(wanted[s]) // sum(v) * sum(v) + max(x for x in subset_sums(v) if x <= round(wanted[s]) % sum(v))
+        assert best - min(filter(None, v)) <= taken[s] <= best
+    assert max(Counter(r.doc_id for r in mixed.collect()).values()) <= 2 and set(mixed.collect()) <= set(single.collect())
     check_packed(docs.collect(), pieces_of([(r.doc_id, r.text) for r in mixed.collect()]))
 
 
