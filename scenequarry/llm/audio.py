@@ -14,6 +14,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
@@ -24,15 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from .shared import filesystem, publish, scratch, slices
 
 UNIT = 192
-RATE, UP, DOWN, HALF_TAPS = 12_000, 2, 3, 12
-FRAME, HOP, MELS, BINS = 256, 128, 32, 8
+RATE, UP, DOWN, HALF_TAPS, ONE = 12_000, 2, 3, 12, 1 << 15
+FRAME, HOP, MELS, BINS = 256, 128, 32, 4
 #: Decibels above and below the median at which a segment begins and ends.
 RISE, FALL = 1.0, 0.5
-#: Blocks of ``UNIT`` samples that are resampled at once.
+#: Frames, or outputs of a phase, that are computed at once.
 BLOCKS = 4096
 MEDIA = "doc_id long, n_bytes long, media binary"
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_segments long"
-SEGMENTS = "doc_id long, segment int, start_s double, end_s double, tensor array<float>"
+MANIFEST = "segments string, docs string, n_segments long, n_docs long"
+STORED = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
 
 
 def payload(text: str | None) -> tuple[int, bytes]:
@@ -64,18 +66,18 @@ def from_wav(media: bytes) -> tuple[int, memoryview]:
 
 
 @cache
-def _resampler() -> np.ndarray:
-    """The polyphase filter for one block as a banded matrix: (UNIT + 2 * HALF_TAPS) samples to UNIT * UP / DOWN.
+def _phases() -> np.ndarray:
+    """The polyphase filter: one row of whole-number taps for each of the ``UP`` output phases.
 
-    Output j lies at input time j * DOWN / UP; its phase picks the taps of a
-    windowed sinc that cuts off at the lower of the two Nyquist rates.
+    Output j lies at input time j * DOWN / UP; its phase j % UP picks the taps
+    of a windowed sinc that cuts off at the lower of the two Nyquist rates.
+    Taps are scaled to ``ONE`` and rounded, so that sums are exact in any order.
     """
-    n_out, n_in = UNIT * UP // DOWN, UNIT + 2 * HALF_TAPS
-    t = np.arange(n_in)[:, None] - HALF_TAPS - np.arange(n_out)[None, :] * DOWN / UP
+    at = np.arange(2 * HALF_TAPS + 1)[None, :] - HALF_TAPS - (np.arange(UP)[:, None] * DOWN / UP) % 1
     cut = min(1.0, UP / DOWN)
-    window = np.where(np.abs(t) <= HALF_TAPS, 0.5 + 0.5 * np.cos(np.pi * t / HALF_TAPS), 0)
-    taps = cut * np.sinc(cut * t) * window
-    return (taps / taps.sum(axis=0)).astype(np.float32)
+    window = np.where(np.abs(at) <= HALF_TAPS, 0.5 + 0.5 * np.cos(np.pi * at / HALF_TAPS), 0)
+    taps = np.sinc(cut * at) * window
+    return np.round(ONE * taps / taps.sum(axis=1, keepdims=True))
 
 
 @cache
@@ -86,28 +88,33 @@ def _mel() -> np.ndarray:
     edges = 700 * (10 ** (np.linspace(mel(20.0), mel(rate / 2), MELS + 2) / 2595) - 1)
     f = np.fft.rfftfreq(FRAME, 1 / rate)[:, None]
     up, down = (f - edges[:-2]) / (edges[1:-1] - edges[:-2]), (edges[2:] - f) / (edges[2:] - edges[1:-1])
-    return np.maximum(0, np.minimum(up, down)).astype(np.float32)
+    return np.maximum(0, np.minimum(up, down))
 
 
 @cache
 def _window() -> np.ndarray:
-    return np.hanning(FRAME + 1)[:-1].astype(np.float32)
+    return np.hanning(FRAME + 1)[:-1]
 
 
 def resample(samples: np.ndarray) -> np.ndarray:
-    """Unsigned 8-bit samples (a multiple of ``UNIT``) at UP / DOWN of their rate, as floats around 0."""
-    out = []
-    padded = np.full(len(samples) + 2 * HALF_TAPS, 128, np.uint8)
-    padded[HALF_TAPS:-HALF_TAPS] = samples
-    for start in range(0, len(samples), BLOCKS * UNIT):
-        part = padded[start : start + BLOCKS * UNIT + 2 * HALF_TAPS]
-        x = part.astype(np.float32)
-        x -= 128
-        x /= 128
-        n = (len(x) - 2 * HALF_TAPS) // UNIT
-        blocks = np.lib.stride_tricks.as_strided(x, (n, UNIT + 2 * HALF_TAPS), (x.strides[0] * UNIT, x.strides[0]))
-        out.append((blocks @ _resampler()).ravel())
-    return np.concatenate(out)
+    """Unsigned 8-bit samples (a multiple of ``DOWN``) at UP / DOWN of their rate, as doubles around 0.
+
+    Each phase filters the input at every DOWN-th sample, so only outputs that are kept are computed.
+    """
+    taps = _phases()
+    starts = [p * DOWN // UP for p in range(UP)]
+    span = 2 * HALF_TAPS + 1 + max(starts)
+    padded = np.full(len(samples) + 2 * HALF_TAPS + DOWN, 128, np.uint8)
+    padded[HALF_TAPS : HALF_TAPS + len(samples)] = samples
+    n = len(samples) // DOWN
+    out = np.empty((n, UP))
+    for a in range(0, n, BLOCKS):
+        m = min(BLOCKS, n - a)
+        x = padded[a * DOWN : (a + m - 1) * DOWN + span].astype(float) - 128
+        for p, start in enumerate(starts):
+            frames = np.lib.stride_tricks.sliding_window_view(x[start:], taps.shape[1])[::DOWN][:m]
+            out[a : a + m, p] = frames @ taps[p]
+    return out.ravel() / (128 * ONE)
 
 
 def log_mel(signal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,12 +122,12 @@ def log_mel(signal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = max(1, -(-(len(signal) - FRAME) // HOP) + 1)
     signal = np.pad(signal, (0, max(0, (n - 1) * HOP + FRAME - len(signal))))
     frames = np.lib.stride_tricks.sliding_window_view(signal, FRAME)[::HOP]
-    mels, energy = np.empty((n, MELS), np.float32), np.empty(n, np.float32)
+    mels, energy = np.empty((n, MELS)), np.empty(n)
     for a in range(0, n, BLOCKS):
         x = frames[a : a + BLOCKS] * _window()
         spectrum = np.fft.rfft(x)
         power = spectrum.real**2 + spectrum.imag**2
-        mels[a : a + BLOCKS] = np.log(power.astype(np.float32) @ _mel() + 1e-6)
+        mels[a : a + BLOCKS] = np.log(power @ _mel() + 1e-6)
         energy[a : a + BLOCKS] = 10 * np.log10((x * x).mean(axis=1) + 1e-9)
     return mels, energy
 
@@ -136,7 +143,7 @@ def hysteresis(energy: np.ndarray, rise: float = RISE, fall: float = FALL) -> np
 
 
 def analyse(media: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans in seconds (n, 2), tensors (n, BINS, MELS) and the whole signal's tensor (BINS, MELS)."""
+    """Spans in seconds (n, 2), tensors (n, BINS, MELS) and the whole signal's tensor (BINS, MELS), in steps of 1/64."""
     rate, view = from_wav(media)
     mels, energy = log_mel(resample(np.frombuffer(view, np.uint8)))
     spans = hysteresis(energy)
@@ -151,7 +158,7 @@ def _pool(mels: np.ndarray, spans: np.ndarray) -> np.ndarray:
     width = (spans[:, 1] - spans[:, 0])[:, None]
     a = spans[:, :1] + np.arange(BINS) * width // BINS
     b = np.maximum(a + 1, spans[:, :1] + np.arange(1, BINS + 1) * width // BINS)
-    return ((sums[b] - sums[a]) / (b - a)[..., None]).astype(np.float32)
+    return (np.round((sums[b] - sums[a]) / (b - a)[..., None] * 64) / 64).astype(np.float16)
 
 
 def media_table(docs: DataFrame, out: str) -> DataFrame:
@@ -170,62 +177,99 @@ def media_table(docs: DataFrame, out: str) -> DataFrame:
     return docs.sparkSession.read.parquet(out)
 
 
-def digests(media: DataFrame) -> DataFrame:
-    """Per row of a media table: what was stored, read back, and a digest of its features."""
+def tensor_files(media: DataFrame, out: str) -> DataFrame:
+    """Write the features of a media table below ``out``; return the manifest, one row a task that had rows.
+
+    ``*.segments.arrow`` has a row a segment: doc_id, its number, its span in
+    seconds and its tensor (fixed shape BINS x MELS, half floats in steps of
+    1/64). ``*.docs.arrow`` has a row a media row: what was stored and read
+    back, where its segments lie in the other file, and the whole signal's
+    tensor. Rows without segments, repeated rows and null doc_ids keep their
+    row; media of any length are analysed in blocks.
+    """
+    kind = pa.fixed_shape_tensor(pa.float16(), [BINS, MELS])
+    of_segments = pa.schema([("doc_id", pa.int64()), ("segment", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("tensor", kind)])
+    of_docs = pa.schema([*((n, pa.string() if n.endswith("sha256") else pa.int64()) for n in STORED), ("first", pa.int64()), ("n_segments", pa.int64()), ("tensor", kind)])
+    fs, root = filesystem(out)
+    fs.create_dir(root, recursive=True)
+
+    def tensors(values: list[np.ndarray]) -> pa.Array:
+        flat = np.concatenate([np.empty(0, np.float16), *(v.ravel() for v in values)])
+        return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(flat), BINS * MELS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = filesystem(out)
+        names = [f"part-{TaskContext.get().partitionId():07d}.{k}.arrow" for k in ("segments", "docs")]
+        staged = [f"{root}/.{n}-{uuid.uuid4().hex}" for n in names]
+        sinks, writers, at, n_docs = [], [], 0, 0
         for batch in slices(batches):
-            rows = []
+            if not writers:
+                sinks = [fs.open_output_stream(s) for s in staged]
+                writers = [pa.ipc.new_file(sink, schema) for sink, schema in zip(sinks, (of_segments, of_docs))]
+            docs, segments, whole, some = [], [], [], []
             for doc, n, wav in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 _, samples = from_wav(wav)
-                spans, tensors, whole = analyse(wav)
-                exact = np.round(np.concatenate([tensors.ravel(), whole.ravel()]) * 64).astype("<i4").tobytes()
-                feature = f"segments={len(spans)};seconds={(spans[:, 1] - spans[:, 0]).sum():.3f};mel={whole.mean():.2f};tensors={zlib.crc32(exact):08x}"
-                rows.append((doc, n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(wav), hashlib.sha256(wav).hexdigest(), feature, len(spans)))
-            if rows:
-                i, s = pa.int64(), pa.string()
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (i, i, i, s, i, i, s, s, i))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_segments"])
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, DIGEST)
-
-
-def segments(media: DataFrame) -> DataFrame:
-    """Per segment of a media table: doc_id, its number, its span and its flattened tensor."""
+                spans, parts, all_ = analyse(wav)
+                docs.append((doc, n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(wav), hashlib.sha256(wav).hexdigest(), at, len(spans)))
+                segments += [(doc, i, a, b) for i, (a, b) in enumerate(spans.tolist())]
+                whole.append(all_)
+                some.append(parts)
+                at += len(spans)
+            for writer, schema, rows, values in ((writers[0], of_segments, segments, some), (writers[1], of_docs, docs, whole)):
+                columns = zip(*rows) if rows else [()] * (len(schema) - 1)
+                writer.write_batch(pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, schema)), tensors(values)], schema=schema))
+            n_docs += len(docs)
+        if not writers:
+            return
+        for writer, sink, temp, name in zip(writers, sinks, staged, names):
+            writer.close()
+            sink.close()
+            publish(fs, temp, f"{root}/{name}")
+        yield pa.RecordBatch.from_pydict({"segments": [f"{out}/{names[0]}"], "docs": [f"{out}/{names[1]}"], "n_segments": [at], "n_docs": [n_docs]})
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, MANIFEST)
+
+
+def read_features(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+    """Per media row, from the files of ``tensor_files``: what was stored, and a digest of its spans and tensors.
+
+    A file is read batch by batch, and each row's tensors are taken as views of the file's own buffers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, wav in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                spans, tensors, _ = analyse(wav)
-                n = len(spans)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(spans[:, 0]), pa.array(spans[:, 1]), pa.array(list(tensors.reshape(n, BINS * MELS)), pa.list_(pa.float32()))],
-                    names=["doc_id", "segment", "start_s", "end_s", "tensor"],
-                )
-
-    return media.select("doc_id", "media").mapInArrow(run, SEGMENTS)
+            for row in batch.to_pylist():
+                with _opened(row["segments"]) as segments, _opened(row["docs"]) as docs:
+                    for i in range(docs.num_record_batches):  # the two files were written batch by batch together
+                        yield digest(docs.get_batch(i), segments.get_batch(i))
 
+    def digest(docs: pa.RecordBatch, segments: pa.RecordBatch) -> pa.RecordBatch:
+        spans = np.stack([segments.column("start_s").to_numpy(), segments.column("end_s").to_numpy()], axis=1)
+        parts, whole = (b.column("tensor").to_numpy_ndarray() for b in (segments, docs))
+        counts = docs.column("n_segments").to_numpy()
+        ends = np.cumsum(counts)
+        features = []
+        for i, (a, b) in enumerate(zip(ends - counts, ends)):
+            crc = zlib.crc32(whole[i].tobytes(), zlib.crc32(parts[a:b].tobytes(), zlib.crc32(spans[a:b].tobytes())))
+            features.append(f"segments={b - a};seconds={(spans[a:b, 1] - spans[a:b, 0]).sum():.3f};mel={whole[i].mean(dtype=float):.2f};tensors={crc:08x}")
+        return pa.RecordBatch.from_arrays([*docs.columns[: len(STORED)], pa.array(features, pa.string()), docs.column("n_segments")], names=[*STORED, "feature", "n_segments"])
 
-def tensor_files(media: DataFrame, out: str) -> DataFrame:
-    """Write segments as Arrow files whose ``tensor`` column has the fixed-shape tensor type; return uri and rows of each."""
-    kind = pa.fixed_shape_tensor(pa.float32(), [BINS, MELS])
-    fs, root = filesystem(out)
-    fs.create_dir(root, recursive=True)
+    n = max(1, spark.sparkContext.defaultParallelism)
+    return manifest.repartition(n).mapInArrow(run, DIGEST)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = filesystem(out)
-        name = f"part-{TaskContext.get().partitionId():07d}.arrow"
-        staged, n = f"{root}/.{name}-{uuid.uuid4().hex}", 0
-        schema = pa.schema([("doc_id", pa.int64()), ("segment", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("tensor", kind)])
-        with fs.open_output_stream(staged) as sink, pa.ipc.new_file(sink, schema) as writer:
-            for batch in batches:
-                flat = pa.FixedSizeListArray.from_arrays(batch.column(4).flatten().cast(pa.float32()), BINS * MELS)
-                writer.write_batch(pa.RecordBatch.from_arrays([*batch.columns[:4], pa.ExtensionArray.from_storage(kind, flat)], schema=schema))
-                n += batch.num_rows
-        publish(fs, staged, f"{root}/{name}")
-        yield pa.RecordBatch.from_pydict({"uri": [f"{out}/{name}"], "n_rows": [n]})
 
-    return segments(media).mapInArrow(run, "uri string, n_rows long")
+@contextmanager
+def _opened(uri: str) -> Iterator[pa.ipc.RecordBatchFileReader]:
+    fs, path = filesystem(uri)
+    with fs.open_input_file(path) as f, pa.ipc.open_file(f) as reader:
+        yield reader
 
 
 def stored_and_read(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return digests(media_table(docs, scratch(spark, "media")))
+    """Per row of ``docs``: the payload as stored and read back, and a digest of the features as stored and read back.
+
+    The manifest, one row a task, comes to the driver; the rest stays in files.
+    """
+    media = media_table(docs, scratch(spark, "media"))
+    made = tensor_files(media, scratch(spark, "tensors")).collect()
+    return read_features(spark, spark.createDataFrame(made, MANIFEST))

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .shared import WORD_PATTERN, cut_lineage, row_keys, salted_rank
 
 SHARE, MOST, ORDER_SEED = 1.5, 2, 19
+#: Words that the dynamic program has at least.
+WINDOW = 1 << 16
 
 
 def cyclic_weights(sources: list[str | None], cycle: tuple[float, ...] = (3, 1, 2)) -> dict[str | None, float]:
@@ -49,11 +51,10 @@ def targets(sizes: dict[str | None, int], weights: dict[str | None, float], shar
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take, at most ``counts``, so that the words come near ``budget``.
 
-    The sum never exceeds the budget. The dynamic program has the last words,
-    two to three times the longest length, so that even the longest documents
-    can still be swapped for others; what is above goes by share. Where no
-    more than that is left after the share, the sum is the best possible over
-    all that the share did not take.
+    The sum never exceeds the budget. The dynamic program has the last words:
+    ``WINDOW`` or twice the longest length, whichever is more, so that even the
+    longest documents can still be swapped for others; what is above goes by
+    share. A budget within the window gets the best sum there is.
     """
     taken = np.zeros_like(counts)
     usable = (lengths > 0) & (counts > 0)
@@ -61,7 +62,7 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     budget = min(int(budget), total)
     if budget <= 0 or not total:
         return taken
-    window = 2 * int(lengths[usable].max())
+    window = max(WINDOW, 2 * int(lengths[usable].max()))
     # A share of what is above the window alone: else a few long documents could be fixed before the program sees them.
     spread = max(0, budget - window)
     exact = counts[usable].astype(object) * spread
@@ -69,7 +70,7 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     short = np.zeros(len(lengths))
     short[usable] = (exact % total / total).astype(float)
     rest = budget - int((lengths * taken).sum())
-    for i in np.lexsort((-lengths, -short)):
+    for i in np.lexsort((np.random.default_rng(ORDER_SEED).permutation(len(lengths)), -short)):
         if usable[i] and taken[i] < counts[i] and rest - int(lengths[i]) >= window:
             taken[i] += 1
             rest -= int(lengths[i])
