@@ -17,9 +17,10 @@ import html
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-from functools import cache
+from collections import Counter, defaultdict
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from .shared import held, slices
 BUCKETS = 1 << 13
 #: Elements by their role in a document.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template title textarea".split())
+RAW = frozenset("script style template title textarea noscript iframe noframes noembed xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 ENDS_PARAGRAPH = frozenset("address article aside blockquote dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table ul".split())
 #: An opening tag ends an open sibling of these kinds, looked for up to the nearest of the containers.
@@ -55,46 +56,78 @@ _NAMES = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*
 _TOKEN = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
+@dataclass(eq=False, slots=True)
+class Element:
+    """An open element; ``fresh`` are the names that none of its ancestors brings, as features."""
+
+    parent: Element | None
+    tag: str
+    fresh: tuple[str, ...]
+    score: np.ndarray | None = None
+
+
 @dataclass
 class Block:
-    """A leaf block: its text with white space as single spaces, its open elements, and its letters within links."""
+    """A leaf block: its text with white space as single spaces, its innermost open element, and its letters within links."""
 
     text: str
-    stack: tuple[tuple[str, tuple[str, ...]], ...]
+    inside: Element | None
     linked: int
 
 
-@dataclass
 class _Page:
-    blocks: list[Block] = field(default_factory=list)
-    stack: list[tuple[str, tuple[str, ...]]] = field(default_factory=list)
-    held: list[str] = field(default_factory=list)
-    linked: int = 0
-    links: int = 0
+    """The open elements, shared by the blocks as a linked path, so that a page of any depth takes memory in its length."""
+
+    def __init__(self):
+        self.blocks: list[Block] = []
+        self.stack: list[tuple[Element, tuple[str, ...]]] = []
+        self.open: dict[str, list[int]] = defaultdict(list)  # depths of open elements by tag
+        self.names: Counter[str] = Counter()
+        self.held: list[str] = []
+        self.linked = 0
 
     def text(self, raw: str) -> None:
+        """A run between two tags; references are decoded here, as none reaches over a tag."""
         if raw:
+            raw = html.unescape(raw) if "&" in raw else raw
             self.held.append(raw)
-            if self.links:
+            if self.open["a"]:
                 self.linked += len(raw)
 
     def flush(self) -> None:
         if self.held:
-            text = " ".join(html.unescape("".join(self.held)).split())
+            text = " ".join("".join(self.held).split())
             if text:
-                self.blocks.append(Block(text, tuple(self.stack), self.linked))
+                self.blocks.append(Block(text, self.stack[-1][0] if self.stack else None, self.linked))
             self.held.clear()
             self.linked = 0
 
+    def push(self, tag: str, tokens: tuple[str, ...]) -> None:
+        names = _path_names(tag, tokens)
+        fresh = tuple([n for n in names if not self.names[n]])
+        self.names.update(names)
+        self.open[tag].append(len(self.stack))
+        self.stack.append((Element(self.stack[-1][0] if self.stack else None, tag, fresh), names))
+
     def close(self, kinds: set[str], up_to: set[str] = frozenset()) -> None:
         """End the innermost open element of ``kinds``, unless one of ``up_to`` lies within."""
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] in kinds:
-                self.links -= sum(name == "a" for name, _ in self.stack[i:])
-                del self.stack[i:]
-                return
-            if self.stack[i][0] in up_to:
-                return
+        depth = lambda tags: max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
+        at = depth(kinds)
+        if at < 0 or depth(up_to) > at:
+            return
+        while len(self.stack) > at:
+            element, names = self.stack.pop()
+            self.open[element.tag].pop()
+            self.names.subtract(names)
+
+
+@lru_cache(1 << 14)
+def _path_names(tag: str, tokens: tuple[str, ...]) -> tuple[str, ...]:
+    """What an open element tells of all that lies in it: its tag, and its names whole and cut short."""
+    names = [] if tag in ("html", "body") else [f"in {tag}"]
+    names += [f"named {t}" for t in tokens]
+    names += [f"named {t[:4]}-" for t in tokens if len(t) > 4]
+    return tuple(sorted(set(names)))
 
 
 def leaf_blocks(page: str | None) -> list[Block]:
@@ -123,8 +156,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
             continue
         names = tuple(t.lower() for v in _NAMES.findall(m["attributes"] or "") for t in _TOKEN.findall("".join(v)))
         if name not in RAW:
-            out.stack.append((name, names))
-            out.links += name == "a"
+            out.push(name, names)
     out.text(page[at:n])
     out.flush()
     return out.blocks
@@ -165,19 +197,17 @@ class _Skipped:
         return self.at
 
 
-def _hashed(names: list[str]) -> list[int]:
+def _hashed(names: Sequence[str]) -> list[int]:
     return [zlib.crc32(n.encode()) % BUCKETS for n in names]
 
 
-def ancestor_features(stack: tuple[tuple[str, tuple[str, ...]], ...]) -> list[int]:
-    """Tags and name tokens of the open elements, and the innermost tags."""
-    names = [f"own {stack[-1][0]}" if stack else "bare"]
-    for tag, tokens in stack:
-        if tag not in ("html", "body"):
-            names.append(f"in {tag}")
-        names += [f"named {t}" for t in tokens]
-        names += [f"named {t[:4]}-" for t in tokens if len(t) > 4]
-    return _hashed(sorted(set(names)))
+def ancestor_features(inside: Element | None) -> list[int]:
+    """The innermost tag, and tags and name tokens of all open elements."""
+    names, at = [f"own {inside.tag}" if inside else "bare"], inside
+    while at:
+        names += at.fresh
+        at = at.parent
+    return _hashed(names)
 
 
 def text_features(block: Block) -> list[int]:
@@ -224,7 +254,7 @@ def train(pages: list[tuple[list[Block], list[int]]], steps: int = 120, rate: fl
     for i, (blocks, labels) in enumerate(pages):
         for t, (block, label) in enumerate(zip(blocks, labels)):
             live[i, t], gold[i, t] = True, label
-            found = ancestor_features(block.stack) + text_features(block)
+            found = ancestor_features(block.inside) + text_features(block)
             row += [i * longest + t] * len(found)
             col += found
     row, col = np.array(row), np.array(col)
@@ -391,18 +421,35 @@ def trained_field(n: int = 800, seed: int = 17) -> Field:
 
 
 class Extractor:
-    """Decodes pages; emission scores of element paths are remembered, as sites repeat them."""
+    """Decodes pages; an element's score is its parent's and that of its fresh names, which sites repeat and are remembered."""
 
     def __init__(self, field_: Field, limit: int = 50_000):
-        self.field, self.limit, self.paths = field_, limit, {}
+        self.field, self.limit, self.known = field_, limit, {}
 
-    def _score(self, block: Block) -> np.ndarray:
-        known = self.paths.get(block.stack)
+    def _emission(self, names: tuple[str, ...]) -> np.ndarray:
+        known = self.known.get(names)
         if known is None:
-            if len(self.paths) > self.limit:
-                self.paths.clear()
-            known = self.paths[block.stack] = self.field.emit[ancestor_features(block.stack)].sum(axis=0)
-        return known + self.field.emit[text_features(block)].sum(axis=0)
+            if len(self.known) > self.limit:
+                self.known.clear()
+            known = self.known[names] = self.field.emit[_hashed(names)].sum(axis=0)
+        return known
+
+    def _path(self, inside: Element | None) -> np.ndarray:
+        """Scores go from the nearest ancestor that has one down to the element."""
+        path, at = [], inside
+        while at is not None and at.score is None:
+            path.append(at)
+            at = at.parent
+        score = np.zeros(2) if at is None else at.score
+        for element in reversed(path):
+            if element.fresh:
+                score = score + self._emission(element.fresh)
+            element.score = score
+        return score
+
+    def _score(self, block: Block) -> np.ndarray:
+        own = self._emission((f"own {block.inside.tag}" if block.inside else "bare",))
+        return self._path(block.inside) + own + self.field.emit[text_features(block)].sum(axis=0)
 
     def main_text(self, page: str | None) -> str:
         blocks = leaf_blocks(page)

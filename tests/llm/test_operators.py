@@ -2,6 +2,8 @@
 
 import hashlib
 import re
+import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from functools import cache
@@ -245,6 +247,24 @@ def test_html_text(spark):
     assert html_crf.extract(pages.limit(0)).count() == 0
 
 
+def test_references_end_at_tags_and_unseen_elements_are_left_out():
+    blocks = lambda page: [b.text for b in html_crf.leaf_blocks(page)]
+    assert blocks("<p>a &am<b>p;</b> b &amp; c&#39;s<!-- x --> d</p>") == ["a &amp; b & c's d"]
+    assert blocks("<p>one</p><noscript><p>turn it on</p></noscript><iframe><p>x</p></iframe>two") == ["one", "two"]
+    assert blocks("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>") == ["a", "b", "c", "d"]
+
+
+def test_deep_pages_take_memory_in_their_length():
+    extractor = html_crf.Extractor(html_crf.trained_field())
+    for page in ("<div>x" * 40_000, "<div class='a b'>x</b></i>" * 10_000, "<p>" + "word " * 100_000, "<a " + "x='y' " * 40_000):
+        began = time.perf_counter()
+        tracemalloc.start()
+        extractor.main_text(page)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 600 * len(page) and time.perf_counter() - began < 120
+
+
 def test_crf_on_held_out_pages():
     made, right, total = html_crf.trained_field(), 0, 0
     extractor = html_crf.Extractor(made)
