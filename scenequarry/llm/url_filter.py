@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cut_lineage
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The list comes with the call and is sent to every task, so its size is checked.
 MAX_RULES = 1_000_000
@@ -126,30 +128,32 @@ def candidate_keys(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def build_cascades(keyed: DataFrame, rules: list[Rule], most_again: int = 8) -> dict[str, Cascade]:
-    """One cascade a verdict over the universe: the distinct ``keys`` of ``keyed``.
+    """One cascade a verdict over the universe: the distinct hashes of the ``keys`` of ``keyed``, computed once.
 
     The first filter's rate is about the list's size over the universe's, so
     that about as many false positives come back as there are rules. Only
-    these come to the driver; should far more do, the rate is lowered.
+    these come to the driver; should far more do, the rate is lowered, and
+    after ``most_again`` rates that let too many through it is an error.
     """
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} can be sent to every task")
     spark = keyed.sparkSession
-    universe = keyed.select(F.explode("keys").alias("key")).select("key", F.xxhash64("key").alias("h"))
-    size = universe.agg(F.approx_count_distinct("h").alias("n")).first()["n"]
+    universe = cut_lineage(keyed.select(F.explode("keys").alias("key")).select(F.xxhash64("key").alias("h")).distinct())
+    size = universe.count()
     hashes = dict(zip([r.key for r in rules], _key_hashes(spark, [r.key for r in rules])))
     out = {}
     for verdict in sorted({r.verdict for r in rules}):
         listed = np.array([hashes[r.key] for r in rules if r.verdict == verdict], np.uint64)
-        rate = min(0.5, math.sqrt(0.5) * len(listed) / max(1, size))
+        rate, bound = min(0.5, math.sqrt(0.5) * len(listed) / max(1, size)), 64 * len(listed) + 10_000
         for _ in range(most_again):
             first = Bloom(listed, rate, 1)
-            passed = universe.mapInArrow(_passing(first), "h long").distinct()
-            if (n := passed.count()) <= 64 * len(listed) + 10_000:
+            seen = universe.mapInArrow(_passing(first), "h long").limit(bound + 1).toArrow().column("h").to_numpy()
+            if len(seen) <= bound:
                 break
-            rate /= 2 + n / (64 * len(listed) + 10_000)
-        seen = np.array([r.h for r in passed.toLocalIterator()], np.int64).view(np.uint64)
-        out[verdict] = Cascade(first, listed, np.setdiff1d(seen, listed))
+            rate /= 4
+        else:
+            raise RuntimeError(f"more than {bound} false positives at a rate of {rate:.2g}")
+        out[verdict] = Cascade(first, listed, np.setdiff1d(seen.view(np.uint64), listed))
     return out
 
 
@@ -163,7 +167,7 @@ def _passing(first: Bloom):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = batch.column(batch.schema.get_field_index("h")).to_numpy().view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(h[first.holds(h)]).view(np.int64))], names=["h"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[first.holds(h)].view(np.int64))], names=["h"])
 
     return run
 
