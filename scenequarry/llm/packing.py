@@ -25,14 +25,16 @@ from .word_cache import cached_encoder
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Patterns offered to the fit, and its steps.
-MAX_PATTERNS, STEPS = 60_000, 300
+#: Steps of the fit.
+STEPS = 300
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, special_as_text: bool = False) -> DataFrame:
     """Cut each document's ids into pieces; only the first may be shorter than ``capacity``.
 
-    A null or empty text has the end id alone. Repeated rows stay repeated.
+    A null or empty text has the end id alone; a text of any length is cut
+    whole. Repeated rows stay repeated, a null doc_id stays null, and columns
+    other than doc_id and text are ignored, whatever their names.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,31 +61,40 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 
 
-def patterns(lengths: np.ndarray, capacity: int, most: int = MAX_PATTERNS) -> np.ndarray:
-    """Rows of three indexes into ``lengths`` (-1: none) whose lengths sum to ``capacity``.
+def patterns(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Few-length patterns that fill a sequence: rows of three indexes into ``lengths`` (-1: none), and how often each is used.
 
-    All singles and pairs; triples with their smallest length taken at even
-    steps, so that there are at most about ``most``.
+    All of one, two and three pieces, and all of one length repeated thrice or
+    more with at most one other piece. They grow with the square of
+    ``capacity``, never with the input.
     """
     place = np.full(capacity + 1, -1)
     place[lengths] = np.arange(len(lengths))
-    rows = [np.array([[place[capacity], -1, -1]])] if place[capacity] >= 0 else []
+    rows, uses = [], []
+
+    def add(*columns: tuple[np.ndarray, int | np.ndarray]) -> None:
+        """One column is (indexes, times); a row counts if none of its indexes is missing."""
+        whole = np.logical_and.reduce([i >= 0 for i, _ in columns])
+        n, spare = int(whole.sum()), 3 - len(columns)
+        rows.append(np.column_stack([*(i[whole] for i, _ in columns), *[np.full(n, -1)] * spare]))
+        uses.append(np.column_stack([*(np.broadcast_to(t, whole.shape)[whole] for _, t in columns), *[np.zeros(n, int)] * spare]))
+
+    add((place[[capacity]], 1))
     small = lengths[lengths * 2 <= capacity]
-    other = place[capacity - small]
-    both = np.stack([place[small], other, np.full(len(small), -1)], axis=1)
-    rows.append(both[other >= 0])
-    least = lengths[lengths * 3 <= capacity]
-    room = max(1, most - sum(map(len, rows)))
-    step = max(1, int(np.ceil(len(least) * len(lengths) / 2 / room)))
-    for a in least[::step]:
+    add((place[small], 1), (place[capacity - small], 1))
+    for a in lengths[lengths * 3 <= capacity]:
         mid = lengths[(lengths >= a) & (lengths * 2 <= capacity - a)]
-        last = place[capacity - a - mid]
-        full = last >= 0
-        rows.append(np.stack([np.full(full.sum(), place[a]), place[mid[full]], last[full]], axis=1))
-    return np.concatenate(rows) if rows else np.empty((0, 3), int)
+        add((np.full(len(mid), place[a]), 1), (place[mid], 1), (place[capacity - a - mid], 1))
+        times = np.arange(3, capacity // a + 1)
+        left = capacity - a * times
+        same = np.full(len(times), place[a])
+        add((same[left > 0], times[left > 0]), (np.where(left[left > 0] == a, -1, place[left[left > 0]]), 1))
+        add((same[(left == 0) & (times > 3)], times[(left == 0) & (times > 3)]))
+    rows, uses = np.concatenate(rows), np.concatenate(uses)
+    return rows, uses
 
 
-def fit(rows: np.ndarray, counts: np.ndarray, steps: int = STEPS) -> np.ndarray:
+def fit(rows: np.ndarray, uses: np.ndarray, counts: np.ndarray, steps: int = STEPS) -> np.ndarray:
     """Non-negative repeat counts x of least squares between the patterns' uses and ``counts``.
 
     Accelerated projected gradient; each step costs one gather and one bincount.
@@ -91,20 +102,20 @@ def fit(rows: np.ndarray, counts: np.ndarray, steps: int = STEPS) -> np.ndarray:
     n = len(counts)
     if not len(rows):
         return np.zeros(0)
-    index = np.where(rows < 0, n, rows)
+    index = np.where(rows < 0, n, rows).ravel()
+    times = uses.astype(float)
     target = np.append(counts, 0.0)
-    uses = lambda x: np.bincount(index.ravel(), np.repeat(x, 3), n + 1) * live
-    live = np.append(np.ones(n), 0.0)
-    back = lambda r: r[index].sum(axis=1)
+    used = lambda x: np.bincount(index, (x[:, None] * times).ravel(), n + 1)
+    back = lambda r: (r[index].reshape(times.shape) * times).sum(axis=1)
     v = np.ones(len(rows))
     for _ in range(20):
-        v = back(uses(v))
+        v = back(used(v))
         top = np.linalg.norm(v)
         v /= top
     x = y = np.zeros(len(rows))
     t = 1.0
     for _ in range(steps):
-        new = np.maximum(0, y - back(uses(y) - target) / (1.05 * top))
+        new = np.maximum(0, y - back(used(y) - target) / (1.05 * top))
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = new + (t - 1) / t_new * (new - x)
         x, t = new, t_new
@@ -122,6 +133,7 @@ class Plan:
     offset: np.ndarray
     n_sequences: int
     length_start: dict[int, int]
+    residual: int  # tokens that patterns left to best fit
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
@@ -130,16 +142,16 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     left = np.array([histogram[int(k)] for k in lengths], dtype=np.int64)
     slots: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
     n_seq = 0
-    rows = patterns(lengths, capacity) if len(lengths) else np.empty((0, 3), int)
-    x = fit(rows, left.astype(float)) if len(lengths) else np.zeros(0)
+    rows, uses = patterns(lengths, capacity)
+    x = fit(rows, uses, left.astype(float))
     for p in np.argsort(-x, kind="stable"):
         want = int(round(x[p]))
         if want < 1:
             break
         need: dict[int, int] = defaultdict(int)
-        for i in rows[p]:
+        for i, times in zip(rows[p], uses[p]):
             if i >= 0:
-                need[int(i)] += 1
+                need[int(i)] += int(times)
         n = min(want, *(int(left[i]) // k for i, k in need.items()))
         if n < 1:
             continue
@@ -149,6 +161,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
             left[i] -= n * k
             at += k * int(lengths[i])
         n_seq += n
+    residual = int((lengths * left).sum())
     n_seq = _best_fit(lengths, left, capacity, slots, n_seq)
     first, base, mult, offset, start, at = [], [], [], [], {}, 0
     for length in map(int, lengths):
@@ -160,7 +173,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
             offset.append(o)
             at += n
     a = lambda v: np.asarray(v, dtype=np.int64)
-    return Plan(a(first), a(base), a(mult), a(offset), n_seq, start)
+    return Plan(a(first), a(base), a(mult), a(offset), n_seq, start, residual)
 
 
 def _best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int, slots: dict, n_seq: int) -> int:
@@ -202,7 +215,8 @@ def _best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int, slots: dict,
 def pack(cut: DataFrame, capacity: int = CAPACITY, seed: int = 7) -> DataFrame:
     """Give each piece a ``sequence_id`` and an ``offset``; an empty table gives no rows.
 
-    The histogram (at most ``capacity`` rows) is all that comes to the driver
+    Rows with null or repeated doc_ids are packed like any other; rows alike in
+    all columns are interchangeable. The histogram (at most ``capacity`` rows) is all that comes to the driver
     and the plan all that is sent out.
     """
     spark = cut.sparkSession
