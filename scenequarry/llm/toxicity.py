@@ -6,8 +6,9 @@ before it; in training those probabilities come from models that did not see
 the row (out of fold), so a later model learns how far to trust them.
 
 Features are which words and word beginnings occur, whether they repeat and
-make up a notable share of the words, and a few proportions of the whole text. The classifier is fitted on at most ``SAMPLE`` labelled rows,
-taken by seeded hash; it then scores every document.
+make up a notable share of the words, and a few proportions of the whole text.
+The classifier is fitted on at most ``SAMPLE`` labelled rows, taken by seeded
+hash; it then scores every document, and whole texts, however long.
 """
 
 from __future__ import annotations
@@ -209,7 +210,13 @@ def common(rows: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, sample: int = SAMPLE, seed: int = 5) -> Chain:
-    """Fit on at most ``sample`` labelled rows; the executors make features, the driver gets those alone."""
+    """Fit on at most ``sample`` labelled rows; the executors make features, the driver gets those alone.
+
+    Of documents that share a labelled doc_id one takes part, the one of least
+    features, so no more than ``sample`` rows reach the driver however often
+    an id occurs. Labels with a null, and rows with a null doc_id, take no
+    part; a repeated label row counts once.
+    """
     known = F.lit(True)
     for c in categories:
         known &= F.col(c).isNotNull()
@@ -229,7 +236,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
 
     schema = "doc_id long, features binary, dense array<double>, " + ", ".join(f"{c} int" for c in categories)
     joined = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
-    got = joined.select("doc_id", "text", *(F.col(c).cast("int") for c in categories)).mapInArrow(run, schema).toPandas()
+    made = joined.select("doc_id", "text", *(F.col(c).cast("int") for c in categories)).mapInArrow(run, schema)
+    held = made.groupBy("doc_id", *categories).agg(F.min(F.struct("features", "dense")).alias("least"))
+    got = held.select("doc_id", "least.*", *categories).toPandas()
     got = got.sort_values(["doc_id", *categories, "features"], ignore_index=True)
     names, features = common([np.frombuffer(b, "<i4") for b in got["features"]])
     dense = np.array(got["dense"].tolist()).reshape(-1, N_DENSE)

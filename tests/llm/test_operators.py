@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from scenequarry.llm import audio, html_crf, mixing, mtree, packing, shared, simhash, token_counts, token_files, toxicity, url_filter
@@ -354,6 +355,9 @@ def test_toxicity_chain(spark, toxic, none):
     kept = toxicity.drop_toxic(clashing, labels)
     assert kept.columns == clashing.columns and {r.doc_id for r in kept.collect()} >= {i for i in range(400) if i % 4}
     assert toxicity.score(none, chain).count() == 0
+    often = docs.where("doc_id % 4 = 0").withColumn("times", F.explode(F.sequence(F.lit(1), F.lit(30)))).drop("times").unionByName(docs.where("doc_id % 4 > 0"))
+    same = toxicity.train(often, labels.where("doc_id < 200 or doc_id > 9000"))
+    assert all((a.weights == b.weights).all() for a, b in zip(same.models, chain.models))
     untaught = toxicity.train(docs, labels.limit(0))
     assert not any(r.toxic for r in toxicity.score(docs, untaught).collect())
 
@@ -403,15 +407,24 @@ def test_plans_place_every_piece_once(seed):
 
 def test_non_negative_fit_uses_up_the_histogram():
     lengths = np.arange(1, 65)
-    rows = packing.patterns(lengths, 64)
-    sums = np.where(rows < 0, 0, lengths[np.maximum(rows, 0)]).sum(axis=1)
-    assert (sums == 64).all()
-    counts = np.bincount(rows[::7][rows[::7] >= 0], minlength=64).astype(float)
-    x = packing.fit(rows, counts)
-    used = np.bincount(rows[rows >= 0], np.repeat(x, 3)[(rows >= 0).ravel()], 64)
+    rows, uses = packing.patterns(lengths, 64)
+    sums = (np.where(rows < 0, 0, lengths[np.maximum(rows, 0)]) * uses).sum(axis=1)
+    made = Counter(tuple(sorted((int(i), int(k)) for i, k in zip(r, u) if k)) for r, u in zip(rows, uses))
+    assert (sums == 64).all() and max(Counter(tuple(sorted(sum(([i] * k for i, k in p), []))) for p in made).values()) == 1
+    pieces = lambda least, left, n: sum(pieces(a, left - a, n - 1) for a in range(least, left + 1)) + (left == 0) if n else left == 0
+    few = sum(sum(k for _, k in p) <= 3 for p in made)
+    assert few == pieces(1, 64, 3)
+    counts = np.bincount(rows[::7].ravel() + 1, uses[::7].ravel(), minlength=65)[1:].astype(float)
+    x = packing.fit(rows, uses, counts)
+    used = np.bincount(rows.ravel() + 1, (x[:, None] * uses).ravel(), 65)[1:]
     assert (x >= 0).all() and np.abs(used - counts).max() < 0.05 * counts.max()
 
 
+def test_short_pieces_have_patterns():
+    p = packing.plan({100: 900, 50: 31, 7: 13}, 1000)
+    assert p.n_sequences == -(-(900 * 100 + 31 * 50 + 13 * 7) // 1000) and p.residual < 5000
+
+
 @pytest.mark.parametrize("tree_rows", [20_000, 64])
 def test_mtree_top_k(spark, tree_rows):
     rng = np.random.default_rng(6)

@@ -112,6 +112,17 @@ def test_op6(spark, sf):
     assert sum(r.toxic == truth[r.doc_id] for r in rows) / len(rows) > 0.95
 
 
+def test_op6_on_held_out_rows(spark, sf):
+    """Fitted on the labels of some documents, judged on the others."""
+    large = sf.replace("sf0.001", "sf0.1")
+    docs, labels = (spark.read.parquet(f"{large}/{t}.parquet") for t in ("documents", "labels"))
+    mark = "pmod(xxhash64(doc_id), 3)"
+    chain = toxicity.train(docs, labels.where(f"{mark} > 0"))
+    rows = toxicity.score(docs, chain).where(f"{mark} = 0").join(labels.where("toxic is not null").selectExpr("doc_id", "toxic as truth"), "doc_id").collect()
+    both = sum(r.toxic and r.truth for r in rows)
+    assert both / sum(r.truth for r in rows) >= 0.9 and both / sum(r.toxic for r in rows) >= 0.9 and len(rows) > 500
+
+
 def check_packed(rows, want):
     made = defaultdict(list)
     for r in rows:
