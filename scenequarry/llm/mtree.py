@@ -9,9 +9,10 @@ distance to the parent's routing vector. A search visits pages by the best
 score they could hold; the triangle inequality with the stored parent distance
 drops entries before their own distance is computed.
 
-An index has one file a tree in the shared folder. Every query first searches
-its home tree, and then only those other trees whose ball can still hold
-something better than its k-th score. Scores and ties are decided on integers;
+An index has one file a tree in the shared folder, and a directory of two
+levels of balls over the trees. Every query first searches its home tree, and
+then only those other trees whose ball can still hold something better than
+its k-th score. Scores and ties are decided on integers;
 distances only prune, with some slack.
 """
 
@@ -25,22 +26,24 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import cut_lineage, filesystem, held, publish
 
 #: Rows of a tree, entries of a page, and queries searched together.
-TREE_ROWS, PAGE, QUERY_BLOCK = 16_384, 128, 512
+TREE_ROWS, PAGE, QUERY_BLOCK = 16_384, 128, 128
+LARGEST = float(1 << 62)
 VECTOR = "vec_id long, vector binary"
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "query_id long, query long, vec_id long, score long"
 
 
 def integer_vectors(rows: DataFrame, scale: int = 256) -> DataFrame:
     """vec_id and floor(scale * x) of every component as little-endian 64-bit integers.
 
     Rows whose id or vector is null, or whose vector holds a null or a
-    non-finite component, take no part.
+    non-finite component, take no part. A component beyond ``LARGEST`` is an
+    error, as are squared norms beyond it later on: scores must fit 64 bits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,6 +55,8 @@ def integer_vectors(rows: DataFrame, scale: int = 256) -> DataFrame:
                     continue
                 x = v.to_numpy(zero_copy_only=False).astype(np.float64)
                 if np.isfinite(x).all():
+                    if (np.abs(x) >= LARGEST / scale).any():
+                        raise OverflowError(f"vector {i}: a component of {np.abs(x).max():g} times {scale} is too large")
                     ids.append(i)
                     out.append(np.floor(scale * x).astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["vec_id", "vector"])
@@ -137,11 +142,11 @@ class MTree:
 
     def save(self, uri: str) -> None:
         fs, path = filesystem(uri)
-        held = io.BytesIO()
-        np.savez(held, **{f: getattr(self, f) for f in self.FIELDS})
+        packed = io.BytesIO()
+        np.savez(packed, **{f: getattr(self, f) for f in self.FIELDS})
         staged = f"{path}.{uuid.uuid4().hex}"
         with fs.open_output_stream(staged) as f:
-            f.write(held.getbuffer())
+            f.write(packed.getbuffer())
         publish(fs, staged, path)
 
     @classmethod
@@ -151,15 +156,15 @@ class MTree:
             return cls(**{n: z[n] for n in cls.FIELDS})
 
     def products(self, q: np.ndarray, rows) -> np.ndarray:
-        """Exact inner products: in doubles while these hold every partial sum, else in integers."""
-        if self.floats is not None:
+        """Exact inner products: in doubles while these hold every partial sum (as norms bound it), else in integers."""
+        if self.floats is not None and float(q @ q) * float(self.most) < 2.0**104:
             return (self.floats[rows] @ q).astype(np.int64)
         return self.vectors[rows] @ q.astype(np.int64)
 
-    def search(self, query_id: int, q: np.ndarray, k: int, held: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
-        """The k best (score, -vec_id) among ``held`` and the tree's rows other than the query's own, best first."""
+    def search(self, query_id: int, q: np.ndarray, k: int, known: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+        """The k best (score, -vec_id) among ``known`` and the tree's rows other than the query's own, best first."""
         q = q.astype(float)
-        q_norm, best = float(q @ q), sorted(held)
+        q_norm, best = float(q @ q), sorted(known)
         root = float(self.space.from_query(q_norm, self.node_pivot[0].astype(float) @ q))
         heap = [(-float(self.space.best_score(q_norm, root - self.node_radius[0])), 0, root)]
         while heap:
@@ -194,61 +199,132 @@ class MTree:
         return best[::-1]
 
 
-def build_index(vectors: DataFrame, out: str, tree_rows: int = TREE_ROWS, seed: int = 3) -> tuple[pd.DataFrame, int, float]:
+class Directory:
+    """Where the trees lie: two levels of balls, so that neither a vector nor a query meets every tree.
+
+    Routing vectors (one a lot) are dealt to about their square root of heads.
+    A vector goes to the nearest head and there to the nearest routing vector.
+    A head's ball covers the balls of its trees; a query looks at the trees of
+    those heads alone whose ball can still hold something better. What is sent
+    to the tasks is one vector a tree, about n / TREE_ROWS of them.
+    """
+
+    def __init__(self, pivots: np.ndarray, most: float):
+        self.space, self.pivots, self.norms = Space(most), pivots, _norms(pivots)
+        heads = np.arange(len(pivots))[: int(np.ceil(np.sqrt(len(pivots))))]
+        self.heads = heads
+        self.head_of = self._nearest(pivots, self.norms, heads)
+
+    def _nearest(self, v: np.ndarray, norms: np.ndarray, among: np.ndarray) -> np.ndarray:
+        own = np.sqrt(np.maximum(0, self.space.most - norms))[:, None]
+        lift = np.sqrt(np.maximum(0, self.space.most - self.norms[among]))
+        return (v.astype(float) @ self.pivots[among].astype(float).T + own * lift).argmax(axis=1) if len(among) else np.zeros(len(v), int)
+
+    def lots(self, v: np.ndarray) -> np.ndarray:
+        """The lot of every vector."""
+        norms, out = _norms(v), np.zeros(len(v), np.int64)
+        head = self._nearest(v, norms, self.heads)
+        for h in np.unique(head):
+            rows, below = np.flatnonzero(head == h), np.flatnonzero(self.head_of == h)
+            out[rows] = below[self._nearest(v[rows], norms[rows], below)]
+        return out
+
+    def hold(self, trees: pd.DataFrame, width: int) -> "Directory":
+        """With the trees that were built: uri, lot, radius and pivot of each."""
+        self.uris, self.radii = trees["uri"].tolist(), trees["radius"].to_numpy(float)
+        self.centres = _matrix(trees["pivot"], width).astype(float)
+        self.trees_of = [np.flatnonzero(self.head_of[trees["lot"].to_numpy(int)] == h) for h in range(len(self.heads))]
+        self.reach = np.full(len(self.heads), -np.inf)
+        for h, below in enumerate(self.trees_of):
+            if len(below):
+                c, own = self.pivots[self.heads[h]], self.norms[self.heads[h]]
+                far = self.space.between(c, own, self.centres[below], (self.centres[below] ** 2).sum(axis=1))
+                self.reach[h] = (far + self.radii[below]).max()
+        return self
+
+    def possible(self, q: np.ndarray, kth: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows of ``q``, trees, distances to the trees' centres, and the best scores possible there, where at least ``kth``."""
+        q = q.astype(float)
+        norms = (q * q).sum(axis=1)
+        to_head = self.space.from_query(norms[:, None], q @ self.pivots[self.heads].astype(float).T)
+        with np.errstate(invalid="ignore"):
+            hope = self.space.best_score(norms[:, None], to_head - self.reach) >= kth[:, None]
+        for h, below in enumerate(self.trees_of):
+            rows = np.flatnonzero(hope[:, h])
+            if len(rows) and len(below):
+                far = self.space.from_query(norms[rows, None], q[rows] @ self.centres[below].T)
+                could = self.space.best_score(norms[rows, None], far - self.radii[below])
+                i, j = np.nonzero(could >= kth[rows, None])
+                yield rows[i], below[j], far[i, j], could[i, j]
+
+    def homes(self, q: np.ndarray) -> np.ndarray:
+        """A tree near each query: the nearest of the nearest head that has trees."""
+        q, out = q.astype(float), np.zeros(len(q), np.int64)
+        norms = (q * q).sum(axis=1)
+        to_head = self.space.from_query(norms[:, None], q @ self.pivots[self.heads].astype(float).T)
+        to_head[:, [not len(t) for t in self.trees_of]] = np.inf
+        head = to_head.argmin(axis=1)
+        for h in np.unique(head):
+            rows, below = np.flatnonzero(head == h), self.trees_of[h]
+            out[rows] = below[(self.space.from_query(norms[rows, None], q[rows] @ self.centres[below].T)).argmin(axis=1)]
+        return out
+
+
+def _tasks(spark: SparkSession, groups: int) -> int:
+    """Tasks for so many groups: a few for each core, and no more than 64 groups in one."""
+    return max(1, min(groups, max(4 * spark.sparkContext.defaultParallelism, -(-groups // 64))))
+
+
+def build_index(vectors: DataFrame, out: str, tree_rows: int = TREE_ROWS, seed: int = 3) -> tuple[Directory | None, int]:
     """Write one M-tree file a lot of about ``tree_rows`` rows below ``out``.
 
-    Returns the directory (tree, uri, radius, pivot: one row a tree, the only
-    rows that come to the driver), the width and the largest squared norm. A
-    routing vector's lot that is too large, as with one very common vector, is
-    dealt to several trees by id.
+    Returns the directory (one row a tree, the only rows that come to the
+    driver; None without vectors) and the width. A routing vector's lot that is
+    too large, as with one very common vector, is dealt to several trees by id.
+    ``vectors`` is read several times: cut its lineage before.
     """
+    spark = vectors.sparkSession
     fs, path = filesystem(out)
     fs.create_dir(path, recursive=True)
-    shape = vectors.select(F.max(F.octet_length("vector")).alias("w"), F.count(F.lit(1)).alias("n")).first()
-    width, n = (shape.w or 8) // 8, shape.n
 
     def squares(batches):
         for batch in batches:
             m = [float(_norms(np.frombuffer(v, "<i8")[None])[0]) for v in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([max(m, default=0.0)])], names=["m"])
+            w = [len(v) // 8 for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([max(m, default=0.0)]), pa.array([max(w, default=0)], pa.int64()), pa.array([len(m)], pa.int64())], names=["m", "w", "n"])
 
-    most = float(vectors.mapInArrow(squares, "m double").agg(F.max("m")).first()[0] or 0.0)
+    shape = vectors.mapInArrow(squares, "m double, w long, n long").agg(F.max("m").alias("m"), F.max("w").alias("w"), F.sum("n").alias("n")).first()
+    most, width, n = float(shape.m or 0.0), max(1, shape.w or 1), shape.n or 0
+    if most >= LARGEST:
+        raise OverflowError(f"a squared norm of {most:g} does not fit a score")
     picked = vectors.dropDuplicates(["vector"]).orderBy(F.xxhash64(F.lit(seed), "vector"), "vector").limit(max(1, -(-n // tree_rows))).toPandas()
-    pivots = _matrix(picked["vector"], width)
-    norms, space = _norms(pivots), Space(most)
+    if not len(picked):
+        return None, width
+    directory = Directory(_matrix(picked["vector"], width), most)
+    routing = spark.sparkContext.broadcast(directory)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = _matrix(batch.column(1).to_pylist(), width)
-            own = np.sqrt(np.maximum(0, most - _norms(v)))
-            near = (v.astype(float) @ pivots.astype(float).T + own[:, None] * np.sqrt(np.maximum(0, most - norms))).argmax(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int64))], names=["vec_id", "vector", "lot"])
+            if batch.num_rows:
+                lots = routing.value.lots(_matrix(batch.column(1).to_pylist(), width))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lots)], names=["vec_id", "vector", "lot"])
 
     dealt = cut_lineage(vectors.mapInArrow(deal, VECTOR + ", lot long"))
     sizes = {int(r[0]): int(r[1]) for r in dealt.groupBy("lot").count().collect()}
-    if not sizes:
-        return pd.DataFrame({"tree": [], "uri": [], "radius": [], "pivot": []}), width, most
 
-    def grow(key, lot: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, lot: pd.DataFrame) -> pd.DataFrame:
         lot = lot.sort_values(["vec_id", "vector"], ignore_index=True)
         tree = MTree.build(lot["vec_id"].to_numpy(), _matrix(lot["vector"], width), most)
         uri = f"{out}/tree-{key[0]}-{key[1]}.npz"
         tree.save(uri)
-        return pd.DataFrame({"uri": [uri], "radius": [tree.node_radius[0]], "pivot": [tree.node_pivot[0].astype("<i8").tobytes()]})
-
-    parts = vectors.sparkSession.createDataFrame([(k, -(-v // tree_rows)) for k, v in sizes.items()], "lot long, parts long")
-    salted = dealt.join(F.broadcast(parts), "lot").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).drop("parts")
-    made = salted.groupBy("lot", "part").applyInPandas(grow, "uri string, radius double, pivot binary").toPandas()
-    made = made.sort_values("uri", ignore_index=True)
-    made.insert(0, "tree", np.arange(len(made)))
-    return made, width, most
-
+        return pd.DataFrame({"uri": [uri], "lot": [key[0]], "radius": [tree.node_radius[0]], "pivot": [tree.node_pivot[0].astype("<i8").tobytes()]})
 
-def _tree(directory: pd.DataFrame, lot: pd.DataFrame) -> MTree:
-    uri = directory["uri"].iloc[int(lot["tree"].iloc[0])]
-    return held((MTree, uri), lambda: MTree.load(uri))
+    parts = spark.createDataFrame([(k, -(-v // tree_rows)) for k, v in sizes.items()], "lot long, parts long")
+    salted = dealt.join(F.broadcast(parts), "lot").withColumn("part", F.pmod(F.xxhash64("vec_id", "vector"), F.col("parts"))).drop("parts")
+    n_trees = sum(-(-v // tree_rows) for v in sizes.values())
+    salted = salted.repartition(_tasks(spark, n_trees), "lot", "part")  # a number of its own, which is not folded together
+    made = salted.groupBy("lot", "part").applyInPandas(grow, "uri string, lot long, radius double, pivot binary").toPandas()
+    return directory.hold(made.sort_values("uri", ignore_index=True), width), width
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, out: str, k: int = 5, **how) -> DataFrame:
@@ -256,67 +332,64 @@ def top_k(vectors: DataFrame, queries: DataFrame, out: str, k: int = 5, **how) -
     those that share its id; ties go to the smaller vec_id; fewer rows give fewer ranks.
 
     Repeated rows count as candidates each, and a repeated query is searched
-    once. Vectors of unequal width are filled with zeros. No vectors, or no
-    queries, give no rows. Scores must fit 64 bits.
+    once; queries that share an id but not the vector each get ranks of their
+    own. Vectors of unequal width are filled with zeros. No vectors, or no
+    queries, give no rows. Scores must fit 64 bits, else it is an error. Both
+    tables are read several times: cut their lineage before.
     """
     spark = vectors.sparkSession
-    vectors = cut_lineage(vectors)
-    directory, width, most = build_index(vectors, out, **how)
+    directory, width = build_index(vectors, out, **how)
+    if directory is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     queries = queries.dropDuplicates(["vec_id", "vector"])
-    sent = spark.sparkContext.broadcast((directory, width, most))
-    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-
-    def bounds(q: np.ndarray) -> np.ndarray:
-        """Best possible scores of queries (rows) in trees (columns)."""
-        directory, width, most = sent.value
-        space, q = Space(most), q.astype(float)
-        pivots = _matrix(directory["pivot"], width).astype(float)
-        n = (q * q).sum(axis=1)[:, None]
-        far = space.from_query(n, q @ pivots.T)
-        return space.best_score(n, far - directory["radius"].to_numpy()), far
+    n_trees = len(directory.uris)
+    sent = spark.sparkContext.broadcast((directory, width))
+    todo = "query_id long, query long, vector binary, tree long, kth long, kth_id long"
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directory, width = sent.value
         for batch in batches:
-            if batch.num_rows and len(sent.value[0]):
-                _, far = bounds(_matrix(batch.column(1).to_pylist(), sent.value[1]))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(far.argmin(axis=1).astype(np.int64))], names=["query_id", "vector", "tree"])
+            if batch.num_rows:
+                tree = directory.homes(_matrix(batch.column(2).to_pylist(), width))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tree)], names=["query_id", "query", "vector", "tree"])
 
     def search(lot: pd.DataFrame) -> pd.DataFrame:
-        directory, width, _ = sent.value
-        tree = _tree(directory, lot)
-        out = [(i, -v, s) for i, q in zip(lot["query_id"], _matrix(lot["vector"], width)) for s, v in tree.search(i, q, k)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    def searched_on(lot: pd.DataFrame) -> pd.DataFrame:
-        """Like ``search``, but from the k-th score of the home tree on; what the home tree gave isn't repeated."""
-        directory, width, _ = sent.value
-        tree = _tree(directory, lot)
-        out = []
-        for i, q, s, v in zip(lot["query_id"], _matrix(lot["vector"], width), lot["kth"], lot["kth_id"]):
-            held = [] if pd.isna(s) else [(int(s), -int(v))] * k
-            out += [(i, -b, a) for a, b in tree.search(i, q, k, held) if (a, b) not in held]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+        """From the k-th score known (if any) on; what was known isn't repeated."""
+        directory, width = sent.value
+        uri = directory.uris[int(lot["tree"].iloc[0])]
+        tree, out = held((MTree, uri), lambda: MTree.load(uri)), []
+        for i, key, q, s, v in zip(lot["query_id"], lot["query"], _matrix(lot["vector"], width), lot["kth"], lot["kth_id"]):
+            known = [] if pd.isna(s) else [(int(s), -int(v))] * k
+            out += [(i, key, -b, a) for a, b in tree.search(i, q, k, known) if (a, b) not in known]
+        return pd.DataFrame(out, columns=["query_id", "query", "vec_id", "score"]).astype("int64")
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Queries with the trees that can still matter."""
+        directory, width = sent.value
+        schema = pa.schema([("query_id", pa.int64()), ("query", pa.int64()), ("vector", pa.binary()), ("tree", pa.int64()), ("kth", pa.int64()), ("kth_id", pa.int64())])
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lot = batch.to_pandas()
-            could, _ = bounds(_matrix(lot["vector"], sent.value[1]))
-            could[np.arange(len(lot)), lot["tree"]] = -np.inf
-            row, tree = np.nonzero(could >= lot["kth"].fillna(-np.inf).to_numpy(float)[:, None])
-            far = ~np.isneginf(could[row, tree])
-            got = lot.iloc[row[far]].assign(tree=tree[far])
-            yield pa.RecordBatch.from_pandas(got[["query_id", "vector", "tree", "kth", "kth_id"]], pa.schema([("query_id", pa.int64()), ("vector", pa.binary()), ("tree", pa.int64()), ("kth", pa.int64()), ("kth_id", pa.int64())]), preserve_index=False)
-
-    block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("block")
-    homed = cut_lineage(queries.select("vec_id", "vector").mapInArrow(homes, "query_id long, vector binary, tree long"))
-    first = cut_lineage(homed.select("*", block).groupBy("tree", "block").applyInPandas(search, FOUND))
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = first.withColumn("rank", F.row_number().over(place)).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"), F.col("vec_id").alias("kth_id"))
-    left = homed.join(kth, "query_id", "left").select("query_id", "vector", "tree", "kth", "kth_id")
-    further = left.mapInArrow(others, "query_id long, vector binary, tree long, kth long, kth_id long")
-    second = further.select("*", block).groupBy("tree", "block").applyInPandas(searched_on, FOUND)
+            lot = batch.to_pandas(integer_object_nulls=True)
+            kth = np.array([-np.inf if s is None else float(s) for s in lot["kth"]])
+            for rows, trees, _, _ in directory.possible(_matrix(lot["vector"], width), kth):
+                away = lot["tree"].to_numpy()[rows] != trees
+                got = batch.take(pa.array(rows[away]))
+                yield pa.RecordBatch.from_arrays([*got.columns[:3], pa.array(trees[away].astype(np.int64)), *got.columns[4:]], schema=schema)
+
+    def searched(rows: DataFrame, n: int) -> DataFrame:
+        block = F.pmod(F.xxhash64("query_id", "query"), F.lit(max(1, -(-n // QUERY_BLOCK)))).alias("block")
+        groups = n_trees * max(1, -(-n // QUERY_BLOCK))
+        return rows.select("*", block).repartition(_tasks(spark, groups), "tree", "block").groupBy("tree", "block").applyInPandas(search, FOUND)
+
+    keyed = queries.select(F.col("vec_id").alias("query_id"), F.xxhash64("vec_id", "vector").alias("query"), "vector")
+    homed = cut_lineage(keyed.mapInArrow(homes, "query_id long, query long, vector binary, tree long"))
+    n_queries = homed.count()
+    none = F.lit(None).cast("long")
+    first = cut_lineage(searched(homed.select("*", none.alias("kth"), none.alias("kth_id")), n_queries))
+    place = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
+    kth = first.withColumn("rank", F.row_number().over(place)).where(F.col("rank") == k).select("query_id", "query", F.col("score").alias("kth"), F.col("vec_id").alias("kth_id"))
+    left = homed.join(kth, ["query_id", "query"], "left").select("query_id", "query", "vector", "tree", "kth", "kth_id")
+    second = searched(left.mapInArrow(others, todo), n_queries)
     ranked = first.union(second).withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")

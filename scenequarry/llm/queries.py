@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import audio, html_crf, mixing, mtree, packing, simhash, token_counts, token_files, toxicity, url_filter
-from .shared import scratch
+from .shared import cut_lineage, scratch
 
 WORD_BPE, BYTE_BPE = map(public_tokenizers.path, ("word_bpe_49k.json", "byte_bpe_50k.json"))
 #: The rules that the url query judges by.
@@ -58,7 +58,7 @@ def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = mtree.integer_vectors(table(spark, sf_dir, "embeddings"))
+    vectors = cut_lineage(mtree.integer_vectors(table(spark, sf_dir, "embeddings")))
     return mtree.top_k(vectors, vectors.where("vec_id % 50 = 0"), scratch(spark, "mtree"), k=5)
 
 

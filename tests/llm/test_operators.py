@@ -425,7 +425,7 @@ def test_short_pieces_have_patterns():
     assert p.n_sequences == -(-(900 * 100 + 31 * 50 + 13 * 7) // 1000) and p.residual < 5000
 
 
-@pytest.mark.parametrize("tree_rows", [20_000, 64])
+@pytest.mark.parametrize("tree_rows", [20_000, 64, 16])
 def test_mtree_top_k(spark, tree_rows):
     rng = np.random.default_rng(6)
     v = rng.normal(size=(400, 6)).astype(np.float32)
@@ -449,6 +449,22 @@ def test_mtree_top_k(spark, tree_rows):
     assert mtree.top_k(few, few.where("vec_id = 0"), scratch(spark, "x")).count() == 2
 
 
+def test_mtree_with_shared_ids_long_queries_and_large_numbers(spark):
+    schema = "vec_id long, embedding array<float>"
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 2.0]), (3, [-1.0, 0.5])]
+    vectors = mtree.integer_vectors(spark.createDataFrame(rows, schema))
+    got = sorted(map(tuple, mtree.top_k(vectors, vectors.where("vec_id = 50"), scratch(spark, "x"), k=2).collect()))
+    scale = 256 * 256
+    assert got == sorted([(50, 1, 1, 3 * scale), (50, 2, 2, scale), (50, 1, 2, 2 * scale), (50, 2, 1, scale)])
+    long = spark.createDataFrame([(9, [1e13, 1e13])], schema)
+    small = mtree.top_k(vectors, mtree.integer_vectors(long), scratch(spark, "x"), k=1).collect()
+    assert [(r.vec_id, r.score) for r in small] == [(1, 4 * 256 * int(256 * np.float64(np.float32(1e13))))]
+    for bad in ([1e30, 0.0], [1e10, 0.0]):
+        with pytest.raises(Exception, match="too large|does not fit"):
+            over = mtree.integer_vectors(spark.createDataFrame([(1, bad)], schema))
+            mtree.top_k(over, over, scratch(spark, "x")).collect()
+
+
 def judged(url):
     host = path = ""
     if url and "://" in url:
