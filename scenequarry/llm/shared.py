@@ -45,6 +45,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, and its place, for loops.
+
+    A checkpoint keeps the size that was estimated for its plan, and joins
+    multiply estimates; after some rounds planning handles numbers of millions
+    of digits. A table has the size of its files.
+    """
+    out = scratch(df.sparkSession, "written")
+    df.write.parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(out), out
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """A file system and the path in it, for a local path or any URI that Arrow knows."""
     if uri.startswith("file:"):

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut_lineage, held, slices
+from .shared import cut_lineage, held, remove, slices, written
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 SEGMENTS, SEGMENT_BITS = 16, 4
@@ -109,20 +109,21 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ``nodes`` has node and rank (its starting label, unlike any other's). Each
     round takes the least label among neighbours and then jumps through the
     label's own label, so rounds grow with the logarithm of a component's
-    diameter. Everything stays distributed; rounds are cut off in the shared
+    diameter. Everything stays distributed; each round is a table in the shared
     folder. A node with many links is salted: its links are dealt by their
     other end, and its label is sent to each of their tasks.
     """
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
-    both = cut_lineage(both)
-    linked = cut_lineage(both.groupBy("node").agg(F.count(F.lit(1)).alias("degree")))  # summed before it is dealt
+    both, _ = written(both)
+    linked, _ = written(both.groupBy("node").agg(F.count(F.lit(1)).alias("degree")))  # summed before it is dealt
     hubs = linked.where(F.col("degree") > HUB).select("node", F.ceil(F.col("degree") / HUB).cast("int").alias("salts"))
     if 0 < hubs.count() <= HUBS_SENT:  # one row in HUB links at most; checked, and joined by shuffle beyond
         hubs = F.broadcast(hubs)
     salts = F.coalesce("salts", F.lit(1))
     dealt = both.join(hubs.withColumnRenamed("node", "other"), "other", "left")
-    dealt = cut_lineage(dealt.select("node", "other", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt")))
-    label = cut_lineage(nodes.join(linked, "node").select("node", F.col("rank").alias("root")))
+    dealt, _ = written(dealt.select("node", "other", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt")))
+    label, _ = written(nodes.join(linked, "node").select("node", F.col("rank").alias("root")))
+    last = None
     owner = label.select(F.col("root").alias("at"), F.col("node").alias("owner"))
     while True:
         told = label.join(hubs, "node", "left").select(F.col("node").alias("other"), "root", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
@@ -130,10 +131,11 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         least = label.join(heard, "node").select("node", F.col("root").alias("was"), F.least("root", "heard").alias("root"))
         # A label's owner is asked for its own label: once for each label, not once for each node that holds it.
         jump = owner.join(least.select(F.col("node").alias("owner"), F.col("root").alias("onward")), "owner").select("at", "onward").where("onward < at")
-        new = cut_lineage(least.join(jump, F.col("root") == F.col("at"), "left").select("node", "was", F.least("root", F.coalesce("onward", "root")).alias("root")))
-        changed = new.where("root < was").limit(1).count()
-        label = new.select("node", "root")
-        if not changed:
+        new, place = written(least.join(jump, F.col("root") == F.col("at"), "left").select("node", "was", F.least("root", F.coalesce("onward", "root")).alias("root")))
+        if last:
+            remove(new.sparkSession, last)
+        label, last = new.select("node", "root"), place
+        if new.where("root < was").isEmpty():
             return label
 
 
