@@ -28,11 +28,13 @@ def farthest_points(points: DataFrame, n: int, by: str = "scene_id", key: str =
 
 
 def patches(points: DataFrame, share: int, k: int, cell: float, by: str = "scene_id", key: str = "point_id") -> DataFrame:
-    """Anchors by farthest points (n / share a scene) with their k nearest points."""
+    """Anchors by farthest points (each scene's own count / share, one at least) with their k nearest points."""
     from .spatial import knn
 
-    n = points.groupBy(by).count().agg(F.max("count")).first()[0] or 0
-    anchors = farthest_points(points, max(1, n // share), by, key).join(points.select(by, key, *AXES), [by, key]).withColumnRenamed(key, "q")
+    wanted = points.groupBy(by).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / share)).alias("_wanted"))
+    most = wanted.agg(F.max("_wanted")).first()[0] or 1
+    ranked = farthest_points(points, int(most), by, key).join(wanted, by).where("rank < _wanted")  # any first part of the order is itself one
+    anchors = ranked.select(by, key).join(points.select(by, key, *AXES), [by, key]).withColumnRenamed(key, "q")
     return knn(anchors, points.select(by, F.col(key).alias("n"), *AXES), k, cell, by)
 
 

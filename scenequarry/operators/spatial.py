@@ -7,6 +7,7 @@ tasks.
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -174,43 +175,51 @@ def _squared(a: tuple[str, ...], b: tuple[str, ...]) -> Column:
     return reduce(Column.__add__, [(F.col(p) - F.col(q)) * (F.col(p) - F.col(q)) for p, q in zip(a, b)])
 
 
-def knn(queries: DataFrame, refs: DataFrame, k: int, cell: float, by: str = "scene_id", query_id: str = "q", ref_id: str = "n", rounds: int = 24) -> DataFrame:
+def knn(queries: DataFrame, refs: DataFrame, k: int, cell: float, by: str = "scene_id", query_id: str = "q", ref_id: str = "n", rounds: int = 64) -> DataFrame:
     """The ``k`` nearest refs of each query in its scene: by, q, n, d2 and rank (from 1); ties go to the lesser id.
 
     Refs are bucketed in cells and a query looks into the 27 around it, as an
     equi-join. A query is settled when its k-th neighbour is no farther than a
-    cell's side; the others go on with twice the side, until the cells span
-    the scenes. Scenes with fewer refs give fewer rows.
+    cell's side; the others go on with twice the side, until a cell is as wide
+    as all the data. Each round's results and open queries are tables of their
+    own, so plans stay flat. Scenes with fewer refs give fewer rows, a scene
+    without refs none. Queries still open after ``rounds`` are an error.
     """
-    span = refs.agg(F.max(F.greatest(*(F.abs(F.col(a)) for a in AXES))).alias("m")).union(queries.agg(F.max(F.greatest(*(F.abs(F.col(a)) for a in AXES))))).agg(F.max("m")).first()[0]
-    if span is None:
-        span = 0.0
-    found, open_, size = None, queries.select(by, query_id, *AXES), cell
+    box = refs.select(*AXES).unionByName(queries.select(*AXES)).agg(*(f(a).alias(f"{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    span = max((box[f"hi{a}"] - box[f"lo{a}"] for a in AXES if box[f"lo{a}"] is not None), default=0.0)
+    found, open_, size = [], queries.select(by, query_id, *AXES), cell
     offsets = F.array(*(F.struct(*(F.lit(o).alias(f"o{a}") for a, o in zip(AXES, (i, j, l)))) for i in (-1, 0, 1) for j in (-1, 0, 1) for l in (-1, 0, 1)))
     for _ in range(rounds):
-        last = size >= 2 * span
         held = voxelize(refs.select(by, ref_id, *AXES), size).select(by, *CELL, ref_id, *(F.col(a).alias(f"r{a}") for a in AXES))
         look = voxelize(open_, size).select(by, query_id, *AXES, *CELL, F.explode(offsets).alias("o"))
         look = look.withColumns({c: F.col(c) + F.col(f"o.o{c[1]}") for c in CELL}).drop("o")
         near = look.join(held, [by, *CELL]).select(by, query_id, ref_id, _squared(AXES, ("rx", "ry", "rz")).alias("d2"))
         place = Window.partitionBy(by, query_id).orderBy("d2", ref_id)
         ranked = near.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
-        if last:
-            return ranked if found is None else found.unionByName(ranked)
+        if size >= span:
+            return reduce(DataFrame.unionByName, [*found, ranked])
+        ranked = cut_lineage(ranked)
         settled = ranked.where((F.col("rank") == k) & (F.col("d2") <= size * size)).select(by, query_id)
-        ranked, settled = _kept(ranked), _kept(settled)
-        done = ranked.join(settled, [by, query_id], "left_semi")
-        found = done if found is None else found.unionByName(done)
-        open_ = _kept(open_.join(settled, [by, query_id], "left_anti"))
+        found.append(ranked.join(settled, [by, query_id], "left_semi"))
+        open_ = cut_lineage(open_.join(settled, [by, query_id], "left_anti"))
         if open_.isEmpty():
-            return found
+            return reduce(DataFrame.unionByName, found)
         size *= 2
-    return found
+    raise RuntimeError(f"queries are open after {rounds} rounds; cell {cell} is too small for a span of {span}")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Computed once, recomputable if an executor is lost."""
-    return df.persist()
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the folder of spark.checkpoint.dir, so that later plans start from it.
+
+    Where no folder is set, and the master is local, a temporary one is made; on a cluster that is an error.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="scenequarry-"))
+    return df.checkpoint(eager=True)
 
 
 def nearest(queries: DataFrame, refs: DataFrame, cell: float, **how) -> DataFrame:

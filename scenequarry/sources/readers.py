@@ -233,8 +233,9 @@ def read_segment_groups(spark: SparkSession, path: str, pattern: str = "*.aggreg
 
 
 def read_label_map(spark: SparkSession, path: str, source: str, target: str) -> DataFrame:
-    """Two columns of a TSV, distinct by the first; whole numbers stay numbers."""
-    rows = spark.read.option("header", "true").option("sep", "\t").csv(path).select(source, target).dropDuplicates([source])
+    """Two columns of a TSV, the first row of each ``source``; whole numbers stay numbers. Such a file is one split."""
+    lines = spark.read.option("header", "true").option("sep", "\t").csv(path).select(source, target, F.monotonically_increasing_id().alias("_line"))
+    rows = lines.groupBy(source).agg(F.min_by(target, "_line").alias(target))
     return rows.withColumn("id", F.expr(f"try_cast(`{target}` as int)"))
 
 

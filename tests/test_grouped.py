@@ -37,6 +37,31 @@ def test_knn_for_any_cell(cloud):
             assert [n for _, n in sorted(found)] == sorted(range(120), key=lambda i: (d[i], i))[:4]
 
 
+def test_knn_reaches_far_neighbours_or_says_so(spark):
+    q = spark.createDataFrame([(0, 1, 0.0, 0.0, 0.0)], "scene_id long, q long, x double, y double, z double")
+    for far in (20.0, 500.0, 1e5):
+        n = spark.createDataFrame([(0, 7, far, 0.0, 0.0)], "scene_id long, n long, x double, y double, z double")
+        assert [(r.q, r.n, r.d2) for r in spatial.knn(q, n, 1, 1.0).collect()] == [(1, 7, far * far)]
+    with pytest.raises(RuntimeError, match="open after 4 rounds"):
+        spatial.knn(q, n, 1, 1.0, rounds=4)
+    assert spatial.knn(q, n.limit(0), 1, 1.0).count() == 0
+
+
+def test_patches_take_each_scene_by_its_own_count(spark):
+    rng = np.random.default_rng(11)
+    rows = [(s, i, *map(float, rng.normal(size=3))) for s, n in ((0, 40), (1, 9), (2, 2)) for i in range(n)]
+    points = spark.createDataFrame(rows, "scene_id long, point_id long, x double, y double, z double")
+    got = grouped.patches(points, 4, 2, 1.0).collect()
+    for s, n in ((0, 10), (1, 2), (2, 1)):
+        place = {i: np.array(p) for t, i, *p in rows if t == s}
+        picked, gap = [0], {i: float(((p - place[0]) ** 2).sum()) for i, p in place.items()}
+        while len(picked) < n:
+            picked.append(max(gap, key=gap.get))
+            gap = {i: min(g, float(((place[i] - place[picked[-1]]) ** 2).sum())) for i, g in gap.items()}
+        want = {(q, k, i) for q in picked for k, i in enumerate(sorted(place, key=lambda i: (((place[i] - place[q]) ** 2).sum(), i))[:2], 1)}
+        assert {(r.q, r["rank"], r.n) for r in got if r.scene_id == s} == want
+
+
 def test_short_groups_are_padded(cloud):
     q = cloud.where("point_id < 2").withColumnRenamed("point_id", "q")
     near = spatial.knn(q, cloud.where("point_id < 3").withColumnRenamed("point_id", "n"), 5, 1.0)
