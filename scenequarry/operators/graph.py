@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spatial import cut_lineage
+from .spatial import written
 
 AXES = ("x", "y", "z")
 
@@ -77,16 +77,16 @@ def connected_components(nodes: DataFrame, edges: DataFrame, by: str = "scene_id
     """(scene, node, component): component is the least node that can be reached over edges in either direction.
 
     Minimum labels spread with pointer jumping, so rounds grow with the
-    logarithm of the diameter; lineage is cut in the checkpoint folder.
+    logarithm of the diameter; each round is a table in the shared folder.
     """
     both = edges.select(by, "src", "dst").unionByName(edges.select(by, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    both = cut_lineage(both)
-    label = cut_lineage(nodes.select(by, node).distinct().withColumn("component", F.col(node)))
+    both = written(both)
+    label = written(nodes.select(by, node).distinct().withColumn("component", F.col(node)))
     for _ in range(rounds):
         heard = both.join(label.select(by, F.col(node).alias("dst"), F.col("component").alias("_c")), [by, "dst"]).groupBy(by, F.col("src").alias(node)).agg(F.min("_c").alias("_c"))
         least = label.join(heard, [by, node], "left").select(by, node, F.col("component").alias("_was"), F.least("component", F.coalesce("_c", "component")).alias("component"))
         jump = least.select(by, F.col(node).alias("component"), F.col("component").alias("_next"))
-        new = cut_lineage(least.join(jump, [by, "component"], "left").select(by, node, "_was", F.least("component", F.coalesce("_next", "component")).alias("component")))
+        new = written(least.join(jump, [by, "component"], "left").select(by, node, "_was", F.least("component", F.coalesce("_next", "component")).alias("component")))
         changed = new.where("component < _was").limit(1).count()
         label = new.select(by, node, "component")
         if not changed:
@@ -132,22 +132,18 @@ def eps_clusters(points: DataFrame, eps: float, by: str = "scene_id", node: str
     a = named.select(by, F.col("cell").alias("src"), *(F.col(c).alias(f"a{c}") for c in AXES))
     b = named.select(by, F.col("cell").alias("dst"), *(F.col(c).alias(f"b{c}") for c in AXES))
     d2 = reduce(Column.__add__, [(F.col(f"a{c}") - F.col(f"b{c}")) * (F.col(f"a{c}") - F.col(f"b{c}")) for c in AXES])
-    # Boxes of the cells' points settle most pairs of cells: too far apart, or close at any points.
+    # Boxes of the cells' points settle many pairs of cells: too far apart, or close at any points. The others go point by point.
     box = named.groupBy(by, "cell").agg(*(f(c).alias(f"{n}{c}") for c in AXES for n, f in (("lo", F.min), ("hi", F.max))))
     side_of = lambda x, name: box.select(by, F.col("cell").alias(x), *(F.col(f"{n}{c}").alias(f"{name}_{n}{c}") for c in AXES for n in ("lo", "hi")))
     gap = [F.greatest(F.lit(0.0), F.col(f"b_lo{c}") - F.col(f"a_hi{c}"), F.col(f"a_lo{c}") - F.col(f"b_hi{c}")) for c in AXES]
     reach = [F.greatest(F.col(f"b_hi{c}") - F.col(f"a_lo{c}"), F.col(f"a_hi{c}") - F.col(f"b_lo{c}")) for c in AXES]
     total = lambda parts: reduce(Column.__add__, [g * g for g in parts])
     near = linked.join(side_of("src", "a"), [by, "src"]).join(side_of("dst", "b"), [by, "dst"]).where(total(gap) <= eps * eps)
-    near = cut_lineage(near.select(by, "src", "dst", (total(reach) <= eps * eps).alias("sure")))
+    near = written(near.select(by, "src", "dst", (total(reach) <= eps * eps).alias("sure")))
     sure = near.where("sure").select(by, "src", "dst")
-    cells_ = head.select(by, F.col("cell").alias("node"))
-    part = connected_components(cells_, sure, by)
-    # Only pairs of cells that are not connected yet are looked at point by point.
-    parts = [part.select(by, F.col("node").alias(x), F.col("component").alias(f"{x}_part")) for x in ("src", "dst")]
-    open_ = near.where("not sure").join(parts[0], [by, "src"]).join(parts[1], [by, "dst"]).where("src_part <> dst_part").select(by, "src", "dst")
+    open_ = near.where("not sure").select(by, "src", "dst")
     met = open_.join(a, [by, "src"]).join(b, [by, "dst"]).where(d2 <= eps * eps).select(by, "src", "dst").distinct()
-    edges = cut_lineage(sure.unionByName(met))
+    edges = written(sure.unionByName(met))
     roots = connected_components(head.select(by, F.col("cell").alias("node")), edges, by)
     return placed.join(head, [by, "vx", "vy", "vz"]).join(roots.withColumnRenamed("node", "cell"), [by, "cell"]).select(by, node, F.col("component").alias("cluster"))
 

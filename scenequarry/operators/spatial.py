@@ -8,6 +8,7 @@ tasks.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -208,20 +209,34 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, cell: float, by: str = "sce
     raise RuntimeError(f"queries are open after {rounds} rounds; cell {cell} is too small for a span of {span}")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the folder of spark.checkpoint.dir, so that later plans start from it.
-
-    Where no folder is set, and the master is local, a temporary one is made; on a cluster that is an error.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not root and not context.master.startswith("local"):
+def _shared_folder(df: DataFrame) -> str:
+    """The folder of spark.checkpoint.dir; where none is set and the master is local, a temporary one. On a cluster that is an error."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="scenequarry-"))
+        root = "file://" + tempfile.mkdtemp(prefix="scenequarry-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(root)
+    return root
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder, so that later plans start from it."""
+    _shared_folder(df)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like ``cut_lineage``, as a table, for loops of joins: a checkpoint keeps its plan's estimated size, which joins
+    multiply until planning is all arithmetic on huge numbers; a table has the size of its files."""
+    out = f"{_shared_folder(df).rstrip('/')}/written-{uuid.uuid4().hex}"
+    df.write.parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
 def nearest(queries: DataFrame, refs: DataFrame, cell: float, **how) -> DataFrame:
     """1-NN join: resolution transfer and label transfer."""
     return knn(queries, refs, 1, cell, **how).drop("rank")
