@@ -353,71 +353,75 @@ def quadrant_crops(v):
 # -- nearest neighbours over embeddings
 
 
-def halves(v) -> tuple[DataFrame, DataFrame]:
-    p = v.feat_points
-    q = p.where("floor(vec_id / 8) % 2 = 0").select("scene_id", F.col("vec_id").alias("q"), "x", "y", "z", "label")
-    return q, p.where("floor(vec_id / 8) % 2 = 1").select("scene_id", F.col("vec_id").alias("n"), "x", "y", "z", "label")
+def clouds(v) -> tuple[DataFrame, DataFrame]:
+    """Two whole clouds: every vector's components 1 to 3 as queries, its components 4 to 6 as candidates."""
+    far = v.table("embeddings").select("vec_id", *((F.col("embedding")[i + 3].cast("double") * 10).alias(a) for i, a in enumerate("xyz")), "label")
+    q = v.feat_points.select("scene_id", F.col("vec_id").alias("q"), "x", "y", "z", "label")
+    return q, far.select((F.col("vec_id") % 8).alias("scene_id"), F.col("vec_id").alias("n"), "x", "y", "z", "label")
 
 
-NEAR = """near as (select a.scene_id, a.vec_id as q, b.vec_id as n, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) as d2, b.label, b.x - a.x as dx, b.y - a.y as dy
-        from feat_points a join feat_points b on a.scene_id = b.scene_id where floor(a.vec_id / 8) % 2 = 0 and floor(b.vec_id / 8) % 2 = 1),
+NEAR = """far_points as (select vec_id % 8 as scene_id, vec_id, label, cast(embedding[4] as double) * 10 as x,
+        cast(embedding[5] as double) * 10 as y, cast(embedding[6] as double) * 10 as z from embeddings),
+    near as (select a.scene_id, a.vec_id as q, b.vec_id as n, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) as d2, b.label, b.x - a.x as dx, b.y - a.y as dy
+        from feat_points a join far_points b on a.scene_id = b.scene_id),
     k as (select *, row_number() over (partition by scene_id, q order by d2, n) as rank from near)"""
 
 
 @query("feat_points", f"with {NEAR} select scene_id, q, n, round(d2, 6) as d2, cast(rank as int) as rank from k where rank <= 3")
 def knn(v):
-    return rounded(spatial.knn(*halves(v), 3, 1.0), "d2", digits=6)
+    return rounded(spatial.knn(*clouds(v), 3, 1.0), "d2", digits=6)
 
 
 @query("feat_points", f"with {NEAR} select scene_id, q, n, round(d2, 6) as d2 from k where rank = 1")
 def nn_join(v):
-    return rounded(spatial.nearest(*halves(v), 1.0), "d2", digits=6)
+    return rounded(spatial.nearest(*clouds(v), 1.0), "d2", digits=6)
 
 
 @query("feat_points", f"with {NEAR} select scene_id, q, cast(rank as int) as rank, n, label, round(dx, 6) as dx, round(dy, 6) as dy from k where rank <= 3")
 def query_and_group(v):
-    q, n = halves(v)
+    q, n = clouds(v)
     g = spatial.query_and_group(q, n, spatial.knn(q, n, 3, 1.0), ["label"])
     return g.select("scene_id", "q", "rank", "n", "label", F.round("x", 6).alias("dx"), F.round("y", 6).alias("dy"))
 
 
 @query("feat_points", f"with {NEAR} select scene_id, q, round(sum(label / (sqrt(d2) + 1e-8)) / sum(1 / (sqrt(d2) + 1e-8)), 4) as label from k where rank <= 3 group by 1, 2")
 def knn_interpolate(v):
-    q, n = halves(v)
+    q, n = clouds(v)
     return rounded(spatial.interpolate(spatial.knn(q, n, 3, 1.0), n, ["label"]), "label")
 
 
 @query("feat_points", f"with {NEAR} select scene_id, q, cast(rank as int) as rank, round(-dx, 6) as x, round(-dy, 6) as y from k where rank <= 3")
 def neighbor_diff(v):
-    q, n = halves(v)
+    q, n = clouds(v)
     return rounded(spatial.neighbour_difference(spatial.knn(q, n, 3, 1.0), q, n, ["x", "y"]), "x", "y", digits=6)
 
 
 @query("feat_points", f"""with {NEAR} select k.scene_id, q, round(sum(p.x / rank), 4) as x, round(sum(p.y * 2), 4) as y, round(sum(p.z / rank), 4) as z
-    from k join feat_points p on p.vec_id = k.n where rank <= 3 group by 1, 2""")
+    from k join far_points p on p.vec_id = k.n where rank <= 3 group by 1, 2""")
 def gathered_weighted_sum(v):
-    q, n = halves(v)
+    q, n = clouds(v)
     return rounded(spatial.weighted_gather(spatial.knn(q, n, 3, 1.0), n, ["x", "y", "z"], [1 / F.col("rank"), F.lit(2.0)]), "x", "y", "z")
 
 
 @query("feat_points", f"""with {NEAR}, r as (select *, row_number() over (partition by scene_id, n order by d2, q) as back from near)
     select scene_id, 'a' as side, q as id, n as match, round(d2, 6) as d2 from k where rank = 1 union all select scene_id, 'b', n, q, round(d2, 6) from r where back = 1""")
 def chamfer(v):
-    return rounded(spatial.chamfer(*halves(v), 1.0), "d2", digits=6)
+    return rounded(spatial.chamfer(*clouds(v), 1.0), "d2", digits=6)
 
 
 # -- similarity and affinity
 
 
 def segment_features(v) -> DataFrame:
-    f = v.table("embeddings").select((F.col("vec_id") % 8).alias("scene_id"), (F.col("vec_id") % 40).alias("segment_id"), F.transform(F.slice("embedding", 1, 4), lambda c: c.cast("double")).alias("f"))
+    f = v.table("embeddings").select((F.col("vec_id") % 8).alias("scene_id"), (F.col("vec_id") % 40).alias("segment_id"), F.transform("embedding", lambda c: c.cast("double")).alias("f"))
     return aggregates.feature_mean(f, "f", ["scene_id", "segment_id"])
 
 
-FEATURES = """parts as (select vec_id % 8 as scene_id, vec_id % 40 as segment_id, cast(embedding[1] as double) as a, cast(embedding[2] as double) as b, cast(embedding[3] as double) as c, cast(embedding[4] as double) as d from embeddings),
-    seg as (select scene_id, segment_id, avg(a) as a, avg(b) as b, avg(c) as c, avg(d) as d from parts group by 1, 2),
-    unit as (select scene_id, segment_id, a / s as a, b / s as b, c / s as c, d / s as d from (select *, sqrt(a*a + b*b + c*c + d*d) as s from seg)),
-    cosine as (select p.scene_id, p.segment_id as i, q.segment_id as j, p.a * q.a + p.b * q.b + p.c * q.c + p.d * q.d as raw from unit p join unit q using (scene_id)),
+FEATURES = """parts as (select vec_id % 8 as scene_id, vec_id % 40 as segment_id, generate_subscripts(embedding, 1) as pos, cast(unnest(embedding) as double) as x from embeddings),
+    means as (select scene_id, segment_id, pos, avg(x) as x from parts group by 1, 2, 3),
+    seg as (select scene_id, segment_id, list(x order by pos) as f from means group by 1, 2),
+    unit as (select scene_id, segment_id, list_transform(f, lambda x: x / sqrt(list_inner_product(f, f))) as f from seg),
+    cosine as (select p.scene_id, p.segment_id as i, q.segment_id as j, list_inner_product(p.f, q.f) as raw from unit p join unit q using (scene_id)),
     spread as (select scene_id, i, j, case when max(raw) over w > min(raw) over w then (raw - min(raw) over w) / (max(raw) over w - min(raw) over w) else 0 end as sim from cosine window w as (partition by scene_id, i))"""
 
 
@@ -426,7 +430,7 @@ def cosine_affinity(v):
     return rounded(graph.similarity(segment_features(v), "f", "segment_id"), "sim")
 
 
-@query("", f"""with {FEATURES}, gap as (select p.scene_id, p.segment_id as i, q.segment_id as j, sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b) + (p.c - q.c) * (p.c - q.c) + (p.d - q.d) * (p.d - q.d)) as raw from seg p join seg q using (scene_id))
+@query("", f"""with {FEATURES}, gap as (select p.scene_id, p.segment_id as i, q.segment_id as j, list_distance(p.f, q.f) as raw from seg p join seg q using (scene_id))
     select scene_id, i, j, round(1 - case when max(raw) over w > min(raw) over w then (raw - min(raw) over w) / (max(raw) over w - min(raw) over w) else 0 end, 4) as sim from gap window w as (partition by scene_id, i)""")
 def l2_similarity(v):
     return rounded(graph.similarity(segment_features(v), "f", "segment_id", kind="l2"), "sim")
@@ -446,11 +450,12 @@ def affinity_binarise(v):
 def attention_inputs(v) -> tuple[DataFrame, DataFrame, DataFrame]:
     e = v.table("embeddings")
     part = lambda name, c, a: e.select(F.col("vec_id").alias(name), F.transform(F.slice("embedding", a, 8), lambda x: x.cast("double")).alias(c))
-    edges = v.table("lineitem").select((F.col("l_orderkey") % 500).alias("i0"), (F.col("l_partkey") % 500).alias("i1")).distinct()
+    n = max(e.count(), 1)
+    edges = v.table("lineitem").select((F.col("l_orderkey") % n).alias("i0"), (F.col("l_partkey") % n).alias("i1")).distinct()
     return edges, part("i0", "q", 1), part("i1", "k", 9)
 
 
-EDGES = "edges as (select distinct l_orderkey % 500 as i0, l_partkey % 500 as i1 from lineitem)"
+EDGES = "edges as (select distinct l_orderkey % n as i0, l_partkey % n as i1 from lineitem, (select greatest(count(*), 1) as n from embeddings) size)"
 LOGITS = f"""{EDGES}, heads as (select unnest([0, 1]) as head),
     logit as (select i0, i1, cast(head as int) as head, list_sum(list_transform([1, 2, 3, 4], lambda c: cast(a.embedding[head * 4 + c] as double) * cast(b.embedding[8 + head * 4 + c] as double))) as logit
         from edges join embeddings a on a.vec_id = i0 join embeddings b on b.vec_id = i1, heads)"""
@@ -775,13 +780,13 @@ def voxel_interpolate(v):
 # -- assignment
 
 
-def pair_inputs(v, which: str = "mask_id < 1000") -> tuple[DataFrame, DataFrame]:
-    """Logits of masks (the coarse ones, as PAIR_SQL has it) as queries, instances as targets."""
-    m = v.masks.where(which).select("scene_id", F.col("mask_id").cast("long").alias("q"), "point_id", ((F.col("point_id") * 7 + F.col("mask_id")) % 11 - 5).cast("double").alias("logit"))
+def pair_inputs(v) -> tuple[DataFrame, DataFrame]:
+    """Logits of all masks as queries, instances as targets."""
+    m = v.masks.select("scene_id", F.col("mask_id").cast("long").alias("q"), "point_id", ((F.col("point_id") * 7 + F.col("mask_id")) % 11 - 5).cast("double").alias("logit"))
     return m.withColumn("p", geometry.sigmoid(F.col("logit"))), v.gt.select("scene_id", F.col("gt_id").alias("t"), "point_id")
 
 
-PAIR_SQL = """sc as (select scene_id, cast(mask_id as bigint) as q, point_id, cast((point_id * 7 + mask_id) % 11 - 5 as double) as logit, 1 / (1 + exp(-cast((point_id * 7 + mask_id) % 11 - 5 as double))) as p from masks where mask_id < 1000),
+PAIR_SQL = """sc as (select scene_id, cast(mask_id as bigint) as q, point_id, cast((point_id * 7 + mask_id) % 11 - 5 as double) as logit, 1 / (1 + exp(-cast((point_id * 7 + mask_id) % 11 - 5 as double))) as p from masks),
     tg as (select scene_id, gt_id as t, point_id from gt),
     grid as (select scene_id, q, t from (select distinct scene_id, q from sc) join (select distinct scene_id, t from tg) using (scene_id)),
     met as (select sc.scene_id, q, t, sum(p) as pt, sum(logit) as lt from sc join tg using (scene_id, point_id) group by 1, 2, 3),
@@ -801,7 +806,7 @@ def bce_cost_matrix(v):
 
 @query()
 def hungarian(v):
-    s, t = pair_inputs(v, "true")
+    s, t = pair_inputs(v)
     return rounded(assign.hungarian(assign.total_costs({5.0: assign.bce_costs(s, t), 2.0: assign.dice_costs(s, t)})), "cost")
 
 
