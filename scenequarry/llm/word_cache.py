@@ -26,6 +26,11 @@ from .shared import held
 #: The pattern of byte-level pre-tokenizers.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Marks that are pre-tokens of their own after letters.
+MARKS = ".,;:!?"
+
+_beyond = re.compile("[^\0-\xff]").search
+
 
 def cached_encoder(path: str, special_as_text: bool = False) -> "WordCache":
     """This worker's encoder for ``path``."""
@@ -53,8 +58,13 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            plain = self.encoder.plain and word.isascii() and word.isalpha()
-            ids = self.encoder.letters(word) if plain else self.encoder.word(word)
+            e, core = self.encoder, word[:-1]
+            if e.plain and _letters(word):
+                ids = e.letters(word)
+            elif e.plain and word[-1:] in MARKS and _letters(core):
+                ids = self[core] + e.part(word[-1])
+            else:
+                ids = e.word(word)
         if len(word) <= self.encoder.longest:
             self[word] = ids
         return ids
@@ -131,8 +141,12 @@ class WordCache:
             return b"".join(self.whole(self.careful.split(text)))
 
     def letters(self, word: str) -> bytes:
-        """Ids of a word of ASCII letters, which is one pre-token and its own byte string."""
-        return _packed(self.model.tokenize(word.lower() if self.kind == "dropped" else self.shown[32] + word))
+        """Ids of a word of Latin-1 letters, which is one pre-token."""
+        dropped = self.kind == "dropped"
+        shown = word.lower() if dropped else word
+        if not shown.isascii():
+            shown = shown.encode().decode("latin-1").translate(self.shown)
+        return _packed(self.model.tokenize(shown if dropped else self.shown[32] + shown))
 
     def word(self, word: str) -> bytes:
         if self.kind == "dropped":
@@ -153,10 +167,12 @@ class WordCache:
             cut = self.pattern.findall(shown)
         else:
             return self.whole([chunk])[0]
-        return b"".join([self.parts[p] if p in self.parts else self._part(p) for p in cut])
+        return b"".join(map(self.part, cut))
 
-    def _part(self, part: str) -> bytes:
+    def part(self, part: str) -> bytes:
         """Ids of one pre-token, given to the model in the byte alphabet."""
+        if part in self.parts:
+            return self.parts[part]
         ids = _packed(self.model.tokenize(part.encode().decode("latin-1").translate(self.shown)))
         if len(part) <= self.longest:
             self.parts[part] = ids
@@ -172,6 +188,10 @@ def _packed(tokens: list) -> bytes:
     return _packer(len(tokens))(*[t.id for t in tokens])
 
 
+def _letters(word: str) -> bool:
+    return word.isalpha() and (word.isascii() or not _beyond(word))
+
+
 def _clean(word: str) -> bool:
     return bool(word) and not word[0].isspace() and not word[-1].isspace()
 
