@@ -681,6 +681,13 @@ def mask_scores_topk(v):
     return masks.top_k(v.preds, 20).select("scene_id", "mask_id", "conf", "rank")
 
 
+@query("preds masks", """with s as (select scene_id, mask_id, cast(c as int) as label, cast((cast(mask_id as bigint) * 7919 + c * 104729) % 1000 as double) / 1000.0 as conf from preds, (values (0), (1), (2)) t(c))
+    select scene_id, mask_id, label, conf, cast(rank as int) as rank from (select *, row_number() over (partition by scene_id order by conf desc, mask_id, label) as rank from s) where rank <= 20""")
+def class_scores_topk(v):
+    scores = F.array(*((F.col("mask_id").cast("long") * 7919 + c * 104729) % 1000 / 1000.0 for c in range(3)))
+    return masks.top_k_classes(v.preds.withColumn("scores", scores), "scores", 20)
+
+
 @query("points masks", """with s as (select scene_id, max(x) - min(x) as sx, max(y) - min(y) as sy from points group by 1),
     m as (select m.scene_id, mask_id, max(x) - min(x) as mx, max(y) - min(y) as my, count(*) as n from masks m join points p using (scene_id, point_id) group by 1, 2)
     select m.scene_id, mask_id, n, round(mx, 4) as mx, round(my, 4) as my from m join s using (scene_id) where mx <= 0.95 * sx and my <= 0.95 * sy""")

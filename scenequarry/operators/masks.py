@@ -28,6 +28,16 @@ def top_k(preds: DataFrame, k: int, by: str = "scene_id", score: str = "conf") -
     return ranked(preds, by, score).where(F.col("rank") <= k)
 
 
+def top_k_classes(preds: DataFrame, scores: str, k: int, by: str = "scene_id") -> DataFrame:
+    """(scene, mask_id, label, conf, rank): a scene's ``k`` best (mask, class) pairs; a mask may come with several classes.
+
+    ``scores``: array column of one score a class, label 0 first. Null scores take no part; ties by mask_id, then label.
+    """
+    pairs = preds.select(by, "mask_id", F.posexplode(scores).alias("label", "conf")).where("conf is not null")
+    order = Window.partitionBy(by).orderBy(F.desc("conf"), "mask_id", "label")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def drop_duplicates(preds: DataFrame, masks: DataFrame, least_score: float, share: float, by: str = "scene_id") -> DataFrame:
     """Keep a mask unless it scores below ``least_score`` or some better ranked mask, kept or
     not, has more than ``share`` of its own points in it."""
