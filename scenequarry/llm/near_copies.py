@@ -1,5 +1,9 @@
 """Near copies by the Jaccard similarity of five-word shingles, found exactly.
 
+SimHash links come first: sets whose fingerprints differ in at most two bits,
+confirmed on whole sets. Few pairs of a similarity of 0.8 lie that close, so
+prefix filtering finds the rest, between sets that are not yet connected.
+
 Prefix filtering: under one order of all shingles, two sets with a similarity
 of at least 4/5 share a shingle among the first n - ceil(4n/5) + 1 of each.
 Sets that meet in such a shingle are candidates if what follows it in both is
@@ -26,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .shared import cut_lineage, held, slices
+from .shared import held, remove, slices, written
 
 SHINGLE, SEED, CROWD, PIVOTS = 5, 42, 16, 8
 #: Documents that are looked at for common shingles, and how many of these are told apart.
@@ -85,19 +89,38 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """Of every row: _row, doc_id, its set's key (node), size (n) and prefix."""
+    """Of every row: _row, doc_id, its set's key (node), size (n) and prefix, and its fingerprint (fp)."""
     known = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("near_copies", dict)
         for batch in slices(batches):
-            found = [shingles(t) for t in batch.column(2).to_pylist()]
+            texts = batch.column(2).to_pylist()
+            found = [shingles(t) for t in texts]
             keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found], "<u8").view("<i8")
             sizes = pa.array([len(s) for s in found], pa.int64())
             prefix = _arrays([_prefix(s, *known.value) for s in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), sizes, prefix], names=["_row", "doc_id", "node", "n", "prefix"])
+            fps = pa.array([simhash.fingerprint(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), sizes, prefix, fps], names=["_row", "doc_id", "node", "n", "prefix", "fp"])
+
+    return docs.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "_row long, doc_id long, node long, n long, prefix array<long>, fp long")
+
+
+class _Tables:
+    """Tables of one run in the shared folder, deleted once no later step reads them."""
 
-    return docs.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "_row long, doc_id long, node long, n long, prefix array<long>")
+    def __init__(self) -> None:
+        self.places: dict[DataFrame, str] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        out, place = written(df)
+        self.places[out] = place
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            if place := self.places.pop(df, None):
+                remove(df.sparkSession, place)
 
 
 def _fit(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) -> Column:
@@ -113,28 +136,50 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets have a similarity of at least 4/5."""
-    pairs = cut_lineage(pairs)
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, tables: _Tables) -> DataFrame:
+    """The pairs (a, b) whose whole sets have a similarity of at least 4/5; ``pairs`` is a table."""
     if pairs.isEmpty():
-        return pairs
+        return pairs.sparkSession.createDataFrame([], "a long, b long")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     needed = classes.join(ends, "node").select("node", F.col("rank._row").alias("_row"))
     texts = docs.select("_row", "text").join(needed, "_row").dropDuplicates(["node"])
-    sets = cut_lineage(_sets(texts, "node"))
+    sets = tables.keep(_sets(texts, "node"))
     a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
     shared = F.size(F.array_intersect("s_a", "s_b"))
     same = 9 * shared >= 4 * (F.size("s_a") + F.size("s_b"))
-    return cut_lineage(pairs.join(a, "a").join(b, "b").where(same).select("a", "b"))
+    found = tables.keep(pairs.join(a, "a").join(b, "b").where(same).select("a", "b"))
+    tables.drop(sets)
+    return found
+
 
+def _by_fingerprint(classes: DataFrame, tables: _Tables) -> DataFrame:
+    """Pairs (a < b) by SimHash, one or two for each set that has any.
 
-def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a < b) of sets that are alike: all of them in small crowds, elsewhere enough to connect what is linked."""
+    A set goes with the first of its own fingerprint, and that one with the
+    first set of the least fingerprint within ``simhash.MAX_BITS`` bits.
+    """
+    heads = tables.keep(classes.groupBy("fp").agg(F.min("node").alias("head")))
+    own = classes.join(heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    hooks = simhash.links(heads.select("fp")).groupBy("b").agg(F.min("a").alias("a"))
+    ends = [heads.select(F.col("fp").alias(x), F.col("head").alias(f"head_{x}")) for x in "ab"]
+    near = hooks.join(ends[0], "a").join(ends[1], "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    pairs = tables.keep(_ordered(own.unionByName(near)))
+    tables.drop(heads)
+    return pairs
+
+
+def links(classes: DataFrame, docs: DataFrame, tables: _Tables) -> DataFrame:
+    """Pairs (a < b) of sets that connect all that are alike: links, and stars of components of links."""
+    # SimHash comes first: what it links (and the exact check confirms) need not be compared again.
+    tried = _by_fingerprint(classes, tables)
+    found = _verified(tried, classes, docs, tables)
+    parts = _parts(found, tables)
+    tables.drop(tried, found)
     place = F.shiftleft("n", 32) + F.col("pos")  # in one column, as these rows are the bulk of what is dealt
     tokens = classes.select("node", "n", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "node", place.alias("place"))
     crowds = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     met = tokens.join(crowds, "shingle")
-    met = cut_lineage(met.select("shingle", "node", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"), "m"))
+    met = tables.keep(met.select("shingle", "node", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"), "m"))
     full = met.where(F.col("m") > CROWD)
     # Pairs of sets share at most so many shingles: those met below, crowded ones, and what follows the prefixes.
     crowded = full.groupBy("node").agg(F.count(F.lit(1)).alias("k"))
@@ -144,47 +189,73 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.bool_or(fit).alias("fit")).where("fit")
     for x in "ab":
         pairs = pairs.join(crowded.select(F.col("node").alias(x), F.col("k").alias(f"k_{x}")), x, "left")
+        pairs = pairs.join(parts.select(F.col("node").alias(x), F.col("root").alias(f"part_{x}")), x, "left")
     most = F.col("c") + F.least(F.coalesce("k_a", F.lit(0)), F.coalesce("k_b", F.lit(0))) + F.floor((4 * F.greatest("n_a", "n_b") + 4) / 5) - 1
-    pairs = pairs.where(9 * most >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    apart = F.coalesce("part_a", "a") != F.coalesce("part_b", "b")
+    pairs = tables.keep(pairs.where(apart & (9 * most >= 4 * (F.col("n_a") + F.col("n_b")))).select("a", "b"))
     if full.isEmpty():
-        return _verified(pairs, classes, docs)
+        tables.drop(met)
+        return tables.keep(_star(parts).unionByName(_verified(pairs, classes, docs, tables)))
+    full = tables.keep(_with_parts(full.drop("m"), parts))
+    tables.drop(met)
     # The first pivots: some in each crowd, by one order for all, so that a set meets few however many shingles it shares.
     early = (9 * F.col("pos") > F.col("n")).alias("late")
     turn = F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("turn")
-    by_hash = F.min(F.struct(early, F.xxhash64("node"), "node", "n", "pos"))
-    first = cut_lineage(full.groupBy("shingle", turn).agg(by_hash.alias("pivot")))
-    tried = cut_lineage(pairs.unionByName(_to_pivot(full, first)).distinct())
-    found = _verified(tried, classes, docs)
+    by_hash = F.min(F.struct(early, F.xxhash64("node"), "node", "n", "pos", "part"))
+    first = full.groupBy("shingle", turn).agg(by_hash.alias("pivot"))
+    tried = tables.keep(pairs.unionByName(_to_pivots(full, first)).distinct())
+    tables.drop(pairs)
+    found = _verified(tried, classes, docs, tables)
     # Then the sets whose tries linked most often: where all are copies of one, that one links to more pivots than others do.
     ends = lambda pairs, linked: pairs.select(F.explode(F.array("a", "b")).alias("node"), F.lit(linked).alias("linked"))
     tries = ends(tried, 0).unionByName(ends(found, 1)).groupBy("node").agg((F.sum("linked") / (F.count_if(F.col("linked") == 0) + 2)).alias("links"))
-    full = cut_lineage(_with_parts(full, found).join(tries, "node", "left").na.fill(0.0, ["links"]))
+    parts, was = _parts(_star(parts).unionByName(found), tables), parts
+    full, old = tables.keep(_with_parts(full.drop("part"), parts).join(tries, "node", "left").na.fill(0.0, ["links"])), full
+    tables.drop(found, was, old)
     by_links = F.max(F.struct("links", "node", "n", "pos", "part"))
-    pivots = cut_lineage(full.groupBy("shingle", turn).agg(by_links.alias("pivot")))
-    again = cut_lineage(_to_pivot(full, pivots, F.col("part") != F.col("pivot.part")).join(tried, ["a", "b"], "left_anti"))
-    found = cut_lineage(found.unionByName(_verified(again, classes, docs)))
+    pivots = tables.keep(full.groupBy("shingle", turn).agg(by_links.alias("pivot")))
+    again = tables.keep(_to_pivots(full, pivots).join(tried, ["a", "b"], "left_anti"))
+    found = _verified(again, classes, docs, tables)
     # What is left lies across components: those outside the pivot's against all of the crowd.
-    full = _with_parts(full.drop("links", "part"), found)
+    parts, was = _parts(_star(parts).unionByName(found), tables), parts
+    full, old = tables.keep(_with_parts(full.drop("links", "part"), parts)), full
+    tables.drop(found, was, old)
     main = pivots.groupBy("shingle").agg(F.max("pivot").alias("pivot")).select("shingle", F.col("pivot.node").alias("node")).join(full, ["shingle", "node"]).select("shingle", F.col("part").alias("main"))
     rest = full.join(main, "shingle").where("part <> main").drop("main")
     spread = full.join(rest.select("shingle").distinct(), "shingle", "left_semi")
     across = (F.col("a") != F.col("b")) & (F.col("part_a") != F.col("part_b")) & fit
     last = _ordered(_side(rest, "a", "part").join(_side(spread, "b", "part"), "shingle").where(across).select("a", "b"))
-    last = last.join(tried, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti")
-    return cut_lineage(found.unionByName(_verified(last, classes, docs)).distinct())
+    last = tables.keep(last.join(tried, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti"))
+    tables.drop(full, pivots, tried, again)
+    return tables.keep(_star(parts).unionByName(_verified(last, classes, docs, tables)))
+
+
+def _to_pivots(full: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Pairs (a < b) of each set of a crowd with those of the crowd's pivots that lie in other components, where sizes fit.
+
+    A crowd's pivots come as one list, so a set meets it once for each shingle, and lists are joined before pairs are made.
+    """
+    lists = pivots.groupBy("shingle").agg(F.collect_list("pivot").alias("pivots"))
+    near = lambda p: (F.col("part") != p["part"]) & _fit(F.col("n"), F.col("pos"), p["n"], p["pos"])
+    met = full.join(lists, "shingle").select("node", F.transform(F.filter("pivots", near), lambda p: p["node"]).alias("near")).where(F.size("near") > 0)
+    met = met.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    return _ordered(met.select(F.col("node").alias("a"), F.explode("near").alias("b")))
+
+
+def _parts(found: DataFrame, tables: _Tables) -> DataFrame:
+    """(node, root) of all sets with a link: the component's least set."""
+    nodes = found.select(F.col("a").alias("node")).union(found.select("b")).distinct().withColumn("rank", F.col("node"))
+    return tables.keep(simhash.components(found, nodes))
 
 
-def _to_pivot(full: DataFrame, pivots: DataFrame, more: Column | None = None) -> DataFrame:
-    """Pairs (a < b) of each set of a crowd with the crowd's pivot, where sizes fit."""
-    near = (F.col("node") != F.col("pivot.node")) & _fit(F.col("n"), F.col("pos"), F.col("pivot.n"), F.col("pivot.pos"))
-    met = full.join(pivots, "shingle").where(near if more is None else near & more)
-    return cut_lineage(_ordered(met.select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))))
+def _star(parts: DataFrame) -> DataFrame:
+    """One pair for each set but the least of a component: they connect what all links found connect."""
+    return parts.where("root <> node").select(F.col("root").alias("a"), F.col("node").alias("b"))
 
 
-def _with_parts(full: DataFrame, found: DataFrame) -> DataFrame:
-    """``full`` with the component (``part``) of each set under the links found."""
-    linked = simhash.components(found, found.select(F.col("a").alias("node")).union(found.select("b")).distinct().withColumn("rank", F.col("node")))
-    return cut_lineage(full.join(linked, "node", "left").select(*full.columns, F.coalesce("root", "node").alias("part")))
+def _with_parts(full: DataFrame, parts: DataFrame) -> DataFrame:
+    """``full`` with the component (``part``) of each set."""
+    return full.join(parts, "node", "left").select(*full.columns, F.coalesce("root", "node").alias("part"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -197,10 +268,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("_row", F.xxhash64(F.lit(SEED), *(c for name in columns for c in (F.isnull(name), F.col(name)))))
     rank = F.struct(F.isnull("doc_id").alias("last"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "_row")
     marked = _marked(docs).withColumn("rank", rank)
-    classes = cut_lineage(marked.groupBy("node").agg(F.min("rank").alias("rank"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    nodes, edges = classes.select("node", "rank"), links(classes, docs)
+    tables = _Tables()
+    classes = tables.keep(marked.groupBy("node").agg(F.min("rank").alias("rank"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("fp").alias("fp")))
+    nodes, edges = classes.select("node", "rank"), links(classes, docs, tables)
     if not edges.isEmpty():
         found = simhash.components(edges, nodes)
         nodes = nodes.join(found, "node", "left").where("root is null or root = rank")
-    leaders = cut_lineage(nodes.select("rank._row"))
+    leaders, _ = written(nodes.select("rank._row"))
+    tables.drop(*tables.places)
     return docs.join(leaders, "_row", "left_semi").dropDuplicates(["_row"]).select(*columns)

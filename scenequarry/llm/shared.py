@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of bytes other than these six (the white space of ASCII).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: Whether shuffle files go at the end of the query that made them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -52,8 +54,13 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     multiply estimates; after some rounds planning handles numbers of millions
     of digits. A table has the size of its files.
     """
-    out = scratch(df.sparkSession, "written")
-    df.write.parquet(out)
+    out, conf = scratch(df.sparkSession, "written"), df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")  # what was shuffled for the table is of no use once it is written, and would lie on disk until the driver collects garbage
+    try:
+        df.write.parquet(out)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(out), out
 
 

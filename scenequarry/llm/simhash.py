@@ -114,15 +114,16 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     other end, and its label is sent to each of their tasks.
     """
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
-    both, _ = written(both)
-    linked, _ = written(both.groupBy("node").agg(F.count(F.lit(1)).alias("degree")))  # summed before it is dealt
+    both, place_both = written(both)
+    linked, place_linked = written(both.groupBy("node").agg(F.count(F.lit(1)).alias("degree")))  # summed before it is dealt
     hubs = linked.where(F.col("degree") > HUB).select("node", F.ceil(F.col("degree") / HUB).cast("int").alias("salts"))
     if 0 < hubs.count() <= HUBS_SENT:  # one row in HUB links at most; checked, and joined by shuffle beyond
         hubs = F.broadcast(hubs)
     salts = F.coalesce("salts", F.lit(1))
     dealt = both.join(hubs.withColumnRenamed("node", "other"), "other", "left")
-    dealt, _ = written(dealt.select("node", "other", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt")))
-    label, _ = written(nodes.join(linked, "node").select("node", F.col("rank").alias("root")))
+    dealt, place_dealt = written(dealt.select("node", "other", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt")))
+    remove(both.sparkSession, place_both)
+    label, first = written(nodes.join(linked, "node").select("node", F.col("rank").alias("root")))
     last = None
     owner = label.select(F.col("root").alias("at"), F.col("node").alias("owner"))
     while True:
@@ -136,6 +137,8 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             remove(new.sparkSession, last)
         label, last = new.select("node", "root"), place
         if new.where("root < was").isEmpty():
+            for place in (place_linked, place_dealt, first):
+                remove(new.sparkSession, place)
             return label
 
 

@@ -1,5 +1,7 @@
 """The pipeline's near-dedup against brute force over all pairs."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -80,3 +82,25 @@ def test_rows_without_or_with_the_same_doc_id(spark):
     docs = spark.createDataFrame([(None, a, "s"), (None, b, "s"), (1, b, "s"), (1, "c d e f g h", "s"), (2, "c d e f g h", "t")], SCHEMA)
     kept = sorted(((r.doc_id, r.text) for r in near_copies.keep_one(docs).collect()), key=str)
     assert kept == sorted([(None, a), (1, b), (1, "c d e f g h")], key=str)
+
+
+def test_simhash_links_come_first_and_are_not_compared_again(spark, monkeypatch):
+    """Fingerprints at most two bits apart are linked by op10's join, then checked exactly; the prefix join leaves them out."""
+    long = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(long), " ".join([*long[:-1], "end"]), " ".join(f"v{i}" for i in range(50))]
+    docs, tried = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], SCHEMA), []
+    verified = near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *more: tried.append(pairs.count()) or verified(pairs, *more))
+    assert (near_copies.simhash.fingerprint(texts[0]) ^ near_copies.simhash.fingerprint(texts[1])).bit_count() <= 2
+    assert sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == [0, 2]
+    assert tried == [1, 0]
+
+
+def test_tables_of_the_way_go(spark, rows, monkeypatch):
+    """Of all that the stage writes on its way only its leaders stay."""
+    names = []
+    written = near_copies.written
+    monkeypatch.setattr(near_copies, "written", lambda df: names.append(written(df)) or names[-1])
+    near_copies.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    left = [place for _, place in names if Path(place.removeprefix("file://")).exists()]
+    assert len(names) > 5 and left == [names[-1][1]]
