@@ -229,7 +229,7 @@ FACES = """base as (select scene_id, max(point_id) + 1 as n from points group by
 
 def faces(v) -> DataFrame:
     """Consecutive triples of points as triangles."""
-    n = v.points.groupBy("scene_id").agg((F.max("point_id") + 1).alias("n")).where("n >= 4")
+    n = v.points.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")  # point ids are 0 to n - 1
     k = n.select("scene_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 4) / 3))).alias("k"))
     three = lambda f, a: F.struct((F.col("k") * 2 + f).alias("f"), *((F.col("k") * 3 + a + i).alias(f"i{i + 1}") for i in range(3)))
     return k.select("scene_id", F.inline(F.array(three(0, 0), three(1, 1))))
@@ -245,7 +245,7 @@ def vertices(v) -> DataFrame:
     join new b on b.scene_id = kept.scene_id and b.v = i2 join new c on c.scene_id = kept.scene_id and c.v = i3""")
 def mesh_reindex(v):
     good = v.points.where("label <> 3").select("scene_id", F.col("point_id").alias("i1"))
-    _, out = aggregates.reindex(vertices(v), faces(v).join(good, ["scene_id", "i1"], "left_semi"))
+    _, out = aggregates.reindex(vertices(v), faces(v).join(aggregates.shuffled(good), ["scene_id", "i1"], "left_semi"))
     return out.select("scene_id", "f", "i1", "i2", "i3")
 
 
@@ -282,7 +282,7 @@ def edge_weights(v):
 
 def _weights(v) -> DataFrame:
     normals = graph.vertex_normals(graph.face_normals(vertices(v), faces(v)))
-    return graph.edge_weights(graph.face_edges(faces(v)), vertices(v).join(normals, ["scene_id", "v"]))
+    return graph.edge_weights(graph.face_edges(faces(v)), vertices(v).join(aggregates.shuffled(normals), ["scene_id", "v"]))
 
 
 @query("points", """with m as (select scene_id, floor(scene_id / 4) as merged_id, max(instance_id) as m from points group by 1, 2),

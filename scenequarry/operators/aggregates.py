@@ -152,14 +152,23 @@ def merge_scenes(points: DataFrame, by: str = "scene_id", group: Column | None =
     return points.join(shift, by).withColumn("instance_id", moved).drop("_shift")
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df``, to be joined by shuffle and never broadcast.
+
+    Sizes are guessed from compressed files, or from rows before they are exploded (eight scenes for all their faces), and
+    a broadcast of what turns out large takes the driver's memory.
+    """
+    return df.hint("merge")
+
+
 def reindex(vertices: DataFrame, faces: DataFrame, by: str = "scene_id") -> tuple[DataFrame, DataFrame]:
     """Drop vertices that no face uses; number the others anew and rewrite the faces."""
     used = faces.select(by, F.explode(F.array("i1", "i2", "i3")).alias("v")).distinct()
     new = used.withColumn("_new", (F.row_number().over(Window.partitionBy(by).orderBy("v")) - 1).cast("long"))
-    kept = vertices.join(new, [by, "v"]).withColumn("v", F.col("_new")).drop("_new")
+    kept = vertices.join(shuffled(new), [by, "v"]).withColumn("v", F.col("_new")).drop("_new")
     out = faces
     for c in ("i1", "i2", "i3"):
-        out = out.join(new.select(by, F.col("v").alias(c), F.col("_new").alias(f"n_{c}")), [by, c]).drop(c).withColumnRenamed(f"n_{c}", c)
+        out = out.join(shuffled(new.select(by, F.col("v").alias(c), F.col("_new").alias(f"n_{c}"))), [by, c]).drop(c).withColumnRenamed(f"n_{c}", c)
     return kept, out
 
 
