@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .aggregates import shuffled
 from .spatial import written
 
 AXES = ("x", "y", "z")
@@ -24,7 +25,7 @@ def face_normals(vertices: DataFrame, faces: DataFrame, by: str = "scene_id") ->
     """Unit normals of faces; null for one without area."""
     out = faces
     for k in ("1", "2", "3"):
-        out = out.join(vertices.select(by, F.col("v").alias(f"i{k}"), *(F.col(a).alias(f"{a}{k}") for a in AXES)), [by, f"i{k}"])
+        out = out.join(shuffled(vertices.select(by, F.col("v").alias(f"i{k}"), *(F.col(a).alias(f"{a}{k}") for a in AXES))), [by, f"i{k}"])
     u, w = ({a: F.col(f"{a}{k}") - F.col(f"{a}1") for a in AXES} for k in ("2", "3"))
     n = {"x": u["y"] * w["z"] - u["z"] * w["y"], "y": u["z"] * w["x"] - u["x"] * w["z"], "z": u["x"] * w["y"] - u["y"] * w["x"]}
     out = out.select(by, "f", "i1", "i2", "i3", *(c.alias(f"n{a}") for a, c in n.items()))
