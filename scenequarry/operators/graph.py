@@ -45,7 +45,7 @@ def edge_weights(edges: DataFrame, vertices: DataFrame, by: str = "scene_id") ->
     ``vertices``: v, x, y, z, nx, ny, nz and colours r, g, b in 0..1. An edge of no length has no direction and isn't squared.
     """
     cols = [*AXES, "nx", "ny", "nz", "r", "g", "b"]
-    end = lambda name, p: vertices.select(by, F.col("v").alias(name), *(F.col(c).alias(f"{p}{c}") for c in cols))
+    end = lambda name, p: shuffled(vertices.select(by, F.col("v").alias(name), *(F.col(c).alias(f"{p}{c}") for c in cols)))
     both = edges.join(end("src", "a_"), [by, "src"]).join(end("dst", "b_"), [by, "dst"])
     add = lambda cs: reduce(Column.__add__, cs)
     colour = add([F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in "rgb"])
