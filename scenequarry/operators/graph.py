@@ -56,7 +56,7 @@ def edge_weights(edges: DataFrame, vertices: DataFrame, by: str = "scene_id") ->
 
 def segment_adjacency(points: DataFrame, edges: DataFrame, by: str = "scene_id") -> DataFrame:
     """Directed, distinct pairs of different segments whose points share an edge."""
-    own = lambda c, n: points.select(by, F.col("v").alias(c), F.col("segment_id").alias(n))
+    own = lambda c, n: shuffled(points.select(by, F.col("v").alias(c), F.col("segment_id").alias(n)))
     pairs = edges.select(by, F.col("src").alias("v1"), F.col("dst").alias("v2"))
     met = pairs.join(own("v1", "src"), [by, "v1"]).join(own("v2", "dst"), [by, "v2"]).where("src <> dst").select(by, "src", "dst")
     return met.unionByName(met.select(by, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
