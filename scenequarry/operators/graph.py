@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -195,14 +198,15 @@ def felzenszwalb(edges: DataFrame, k: float = 0.005, least: int = 20, by: str =
     Edges in rising weight (ties by ends) merge two segments if the weight is
     within both thresholds (internal weight + k / size); then edges join
     segments below ``least`` vertices. The merge order is sequential, so a
-    scene's edge list is one group.
+    scene's edges go through one task, in order and a batch at a time; what it
+    holds are the ends of a scene's edges and three numbers a vertex.
     """
 
-    def run(scene: pd.DataFrame) -> pd.DataFrame:
-        scene = scene.sort_values(["w", "src", "dst"], ignore_index=True)
-        names, ends = np.unique(scene[["src", "dst"]].to_numpy().ravel(), return_inverse=True)
-        ends = ends.reshape(-1, 2).tolist()
-        parent, size, limit = list(range(len(names))), [1] * len(names), [k] * len(names)
+    def segments(scene: int, ends: list[np.ndarray], weights: list[np.ndarray]) -> pa.RecordBatch:
+        names = np.unique(np.concatenate([np.unique(e) for e in ends]))
+        for i, e in enumerate(ends):  # places among the names, in half the bytes
+            ends[i] = np.searchsorted(names, e).astype("<i4")
+        parent, size, limit = array("i", range(len(names))), array("i", [1]) * len(names), array("d", [k]) * len(names)
 
         def root(v: int) -> int:
             while parent[v] != v:
@@ -216,19 +220,43 @@ def felzenszwalb(edges: DataFrame, k: float = 0.005, least: int = 20, by: str =
             parent[b], size[a] = a, size[a] + size[b]
             return a
 
-        for (a, b), w in zip(ends, scene["w"].tolist()):
-            a, b = root(a), root(b)
-            if a != b and w <= limit[a] and w <= limit[b]:
-                a = merge(a, b)
-                limit[a] = w + k / size[a]
-        for a, b in ends:
-            a, b = root(a), root(b)
-            if a != b and (size[a] < least or size[b] < least):
-                merge(a, b)
-        segment = np.unique([root(v) for v in range(len(names))], return_inverse=True)[1]
-        return pd.DataFrame({by: scene[by].iloc[0], "v": names, "segment_id": segment.astype("int64")})
-
-    return edges.groupBy(by).applyInPandas(run, f"{by} long, v long, segment_id long")
+        most = k  # no threshold is above it
+        for both, rising in zip(ends, weights):
+            for (a, b), w in zip(both.tolist(), rising.tolist()):
+                if not w <= most:
+                    break
+                a, b = root(a), root(b)
+                if a != b and w <= limit[a] and w <= limit[b]:
+                    a = merge(a, b)
+                    limit[a] = w + k / size[a]
+                    most = max(most, limit[a])
+        for both in ends:
+            for a, b in both.tolist():
+                a, b = root(a), root(b)
+                if a != b and (size[a] < least or size[b] < least):
+                    merge(a, b)
+        roots = np.fromiter(map(root, range(len(names))), "<i4", len(names))
+        segment = np.unique(roots, return_inverse=True)[1].astype("<i8")
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(names), scene, "<i8")), pa.array(names), pa.array(segment)], names=[by, "v", "segment_id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scene, ends, weights = None, [], []
+        for batch in batches:
+            of, src, dst, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            starts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)] if len(of) else []
+            for at, to in zip(starts, starts[1:]):
+                if ends and of[at] != scene:
+                    yield segments(scene, ends, weights)
+                    ends, weights = [], []
+                scene = int(of[at])
+                ends.append(np.stack([src[at:to], dst[at:to]], axis=1))
+                weights.append(w[at:to].copy())
+        if ends:
+            yield segments(scene, ends, weights)
+
+    weight = F.coalesce("w", F.lit(float("nan"))).alias("w")  # unknown weights come last
+    rows = edges.select(F.col(by).cast("long").alias(by), F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), weight)
+    return rows.repartition(by).sortWithinPartitions(by, "w", "src", "dst").mapInArrow(run, f"{by} long, v long, segment_id long")
 
 
 def multi_resolution(edges: DataFrame, sizes: list[int], k: float = 0.005, by: str = "scene_id") -> DataFrame:
