@@ -87,10 +87,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame, by: str = "scene_id
     both = written(both)
     label = written(nodes.select(by, node).distinct().withColumn("component", F.col(node)))
     for _ in range(rounds):
-        heard = both.join(label.select(by, F.col(node).alias("dst"), F.col("component").alias("_c")), [by, "dst"]).groupBy(by, F.col("src").alias(node)).agg(F.min("_c").alias("_c"))
-        least = label.join(heard, [by, node], "left").select(by, node, F.col("component").alias("_was"), F.least("component", F.coalesce("_c", "component")).alias("component"))
+        heard = both.join(shuffled(label.select(by, F.col(node).alias("dst"), F.col("component").alias("_c"))), [by, "dst"]).groupBy(by, F.col("src").alias(node)).agg(F.min("_c").alias("_c"))
+        least = label.join(shuffled(heard), [by, node], "left").select(by, node, F.col("component").alias("_was"), F.least("component", F.coalesce("_c", "component")).alias("component"))
         jump = least.select(by, F.col(node).alias("component"), F.col("component").alias("_next"))
-        new = written(least.join(jump, [by, "component"], "left").select(by, node, "_was", F.least("component", F.coalesce("_next", "component")).alias("component")))
+        new = written(least.join(shuffled(jump), [by, "component"], "left").select(by, node, "_was", F.least("component", F.coalesce("_next", "component")).alias("component")))
         changed = new.where("component < _was").limit(1).count()
         label = new.select(by, node, "component")
         if not changed:
@@ -126,13 +126,13 @@ def eps_clusters(points: DataFrame, eps: float, by: str = "scene_id", node: str
     side = eps / 3**0.5
     cells = {f"v{a}": F.floor(F.col(a) / side).cast("long") for a in AXES}
     placed = points.select(by, node, *AXES, *(c.alias(n) for n, c in cells.items()))
-    head = placed.groupBy(by, "vx", "vy", "vz").agg(F.min(node).alias("cell"))
+    head = written(placed.groupBy(by, "vx", "vy", "vz").agg(F.min(node).alias("cell")))
     steps = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)]
     offsets = F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy"), F.lit(k).alias("dz")) for i, j, k in steps))
     near = head.select(by, F.col("cell").alias("src"), "vx", "vy", "vz", F.explode(offsets).alias("o"))
     near = near.select(by, "src", *((F.col(f"v{a}") + F.col(f"o.d{a}")).alias(f"v{a}") for a in AXES))
-    linked = near.join(head.withColumnRenamed("cell", "dst"), [by, "vx", "vy", "vz"]).select(by, "src", "dst")
-    named = placed.join(head, [by, "vx", "vy", "vz"]).select(by, "cell", *AXES)
+    linked = near.join(shuffled(head.withColumnRenamed("cell", "dst")), [by, "vx", "vy", "vz"]).select(by, "src", "dst")
+    named = written(placed.select(by, "vx", "vy", "vz", *AXES).distinct().join(shuffled(head), [by, "vx", "vy", "vz"]).select(by, "cell", *AXES))  # points on one place are one
     a = named.select(by, F.col("cell").alias("src"), *(F.col(c).alias(f"a{c}") for c in AXES))
     b = named.select(by, F.col("cell").alias("dst"), *(F.col(c).alias(f"b{c}") for c in AXES))
     d2 = reduce(Column.__add__, [(F.col(f"a{c}") - F.col(f"b{c}")) * (F.col(f"a{c}") - F.col(f"b{c}")) for c in AXES])
@@ -142,14 +142,14 @@ def eps_clusters(points: DataFrame, eps: float, by: str = "scene_id", node: str
     gap = [F.greatest(F.lit(0.0), F.col(f"b_lo{c}") - F.col(f"a_hi{c}"), F.col(f"a_lo{c}") - F.col(f"b_hi{c}")) for c in AXES]
     reach = [F.greatest(F.col(f"b_hi{c}") - F.col(f"a_lo{c}"), F.col(f"a_hi{c}") - F.col(f"b_lo{c}")) for c in AXES]
     total = lambda parts: reduce(Column.__add__, [g * g for g in parts])
-    near = linked.join(side_of("src", "a"), [by, "src"]).join(side_of("dst", "b"), [by, "dst"]).where(total(gap) <= eps * eps)
+    near = linked.join(shuffled(side_of("src", "a")), [by, "src"]).join(shuffled(side_of("dst", "b")), [by, "dst"]).where(total(gap) <= eps * eps)
     near = written(near.select(by, "src", "dst", (total(reach) <= eps * eps).alias("sure")))
     sure = near.where("sure").select(by, "src", "dst")
     open_ = near.where("not sure").select(by, "src", "dst")
-    met = open_.join(a, [by, "src"]).join(b, [by, "dst"]).where(d2 <= eps * eps).select(by, "src", "dst").distinct()
+    met = open_.join(shuffled(a), [by, "src"]).join(shuffled(b), [by, "dst"]).where(d2 <= eps * eps).select(by, "src", "dst").distinct()
     edges = written(sure.unionByName(met))
     roots = connected_components(head.select(by, F.col("cell").alias("node")), edges, by)
-    return placed.join(head, [by, "vx", "vy", "vz"]).join(roots.withColumnRenamed("node", "cell"), [by, "cell"]).select(by, node, F.col("component").alias("cluster"))
+    return placed.join(shuffled(head.join(shuffled(roots.withColumnRenamed("node", "cell")), [by, "cell"])), [by, "vx", "vy", "vz"]).select(by, node, F.col("component").alias("cluster"))
 
 
 def unit(rows: DataFrame, feature: str) -> DataFrame:
