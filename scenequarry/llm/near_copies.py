@@ -9,7 +9,8 @@ of at least 4/5 share a shingle among the first n - ceil(4n/5) + 1 of each.
 Sets that meet in such a shingle are candidates if what follows it in both is
 enough (their first shared shingle leaves no more to share), and candidates are
 verified on whole sets (of 64-bit hashes), so no pair is missed. The order puts shingles
-that a sample of documents shows to be common last: it decides on the cost
+that a sample of documents shows to be common last, and then those that the prefixes of
+all sets show to be crowded, where these were taken for rarer: it decides on the cost
 only, never on the result.
 
 A shingle with more than ``CROWD`` sets would make pairs with the square of
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,8 @@ from .shared import held, remove, slices, written
 SHINGLE, SEED, CROWD, PIVOTS = 5, 42, 16, 8
 #: Documents that are looked at for common shingles, and how many of these are told apart.
 SAMPLE, COMMON = 20_000, 200_000
+#: Times that crowded shingles are put further back in the order, and how many at a time.
+MOVES, MOVED = 2, 500_000
 _NONE = (np.empty(0, "<i8"), np.empty(0, "<i8"))
 
 
@@ -49,7 +53,7 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def _prefix(hashes: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """The rarest shingles of a set; ``common`` is sorted and ``times`` says how often each was seen."""
+    """The rarest shingles of a set; ``common`` is sorted and ``times`` says in how many sets each is thought to be."""
     n = len(hashes)
     seen = np.zeros(n, "<i8")
     if len(common):
@@ -76,11 +80,17 @@ def _sets(docs: DataFrame, key: str) -> DataFrame:
 
 
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several sampled documents have, sorted, and in how many they are."""
+    """Shingles that several sampled documents have, sorted, and in about how many of all documents they are."""
     step = max(1, docs.count() // SAMPLE)
     sample = docs.withColumn("_row", F.xxhash64(F.lit(SEED), "text")).where(F.pmod("_row", F.lit(step)) == 0).dropDuplicates(["_row"])
     seen = _sets(sample, "_row").select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-    top = seen.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    common, times = _most(seen, COMMON)
+    return common, times * step
+
+
+def _most(seen: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` shingles of largest n, sorted by their hash, and their n."""
+    top = seen.orderBy(F.desc("n"), "shingle").limit(most).toArrow()
     if not top.num_rows:
         return _NONE
     common, times = (top.column(c).to_numpy() for c in ("shingle", "n"))
@@ -88,9 +98,9 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return common[order], times[order]
 
 
-def _marked(docs: DataFrame) -> DataFrame:
+def _marked(docs: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Of every row: _row, doc_id, its set's key (node), size (n) and prefix, and its fingerprint (fp)."""
-    known = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
+    known = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("near_copies", dict)
@@ -106,6 +116,57 @@ def _marked(docs: DataFrame) -> DataFrame:
     return docs.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "_row long, doc_id long, node long, n long, prefix array<long>, fp long")
 
 
+def _moved(order: tuple[np.ndarray, np.ndarray], crowds: tuple[np.ndarray, np.ndarray]) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """The order in which no crowded shingle counts less than it was met, and the shingles that this puts further back."""
+    both, at = np.unique(np.concatenate([order[0], crowds[0]]), return_inverse=True)
+    times, was = np.zeros(len(both), "<i8"), np.zeros(len(both), "<i8")
+    was[at[: len(order[0])]] = order[1]
+    np.maximum.at(times, at, np.concatenate([order[1], crowds[1]]))
+    return (both, times), both[times > was]
+
+
+def _rows_with(classes: DataFrame, shingles: np.ndarray) -> DataFrame:
+    """node and _row of the sets that have any of ``shingles`` (sorted, not empty) in their prefix."""
+    sent = classes.sparkSession.sparkContext.broadcast(shingles)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("near_copies", dict)
+        for batch in batches:
+            flat = batch.column(2).flatten().to_numpy()
+            at = np.minimum(np.searchsorted(sent.value, flat), len(sent.value) - 1)
+            rows = np.unique(pc.list_parent_indices(batch.column(2)).to_numpy()[sent.value[at] == flat])
+            yield batch.select([0, 1]).take(pa.array(rows, pa.int64()))
+
+    return classes.select("node", "rank._row", "prefix").mapInArrow(run, "node long, _row long")
+
+
+def _reordered(classes: DataFrame, docs: DataFrame, order: tuple[np.ndarray, np.ndarray], tables: _Tables) -> DataFrame:
+    """``classes`` with the prefixes of an order that knows crowded shingles, which the sample alone takes for rarer.
+
+    Sets that share a passage only would meet in its shingles. Shingles are only ever put further back,
+    so a prefix without any of them is the same in both orders, and only the others are made again.
+    """
+    for _ in range(MOVES):
+        crowds = classes.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD)
+        order, back = _moved(order, _most(crowds, MOVED))
+        if not len(back):
+            break
+        known = classes.sparkSession.sparkContext.broadcast(order)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held("near_copies", dict)
+            for batch in slices(batches):
+                found = [_prefix(shingles(t), *known.value) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), _arrays(found)], names=["node", "again"])
+
+        texts = docs.select("_row", "text").join(_rows_with(classes, back), "_row").dropDuplicates(["node"])
+        again = texts.select("node", "text").mapInArrow(run, "node long, again array<long>")
+        made = classes.join(again, "node", "left").select("node", "rank", "n", F.coalesce("again", "prefix").alias("prefix"), "fp")
+        classes, was = tables.keep(made), classes
+        tables.drop(was)
+    return classes
+
+
 class _Tables:
     """Tables of one run in the shared folder, deleted once no later step reads them."""
 
@@ -221,10 +282,11 @@ def links(classes: DataFrame, docs: DataFrame, tables: _Tables) -> DataFrame:
     full, old = tables.keep(_with_parts(full.drop("links", "part"), parts)), full
     tables.drop(found, was, old)
     main = pivots.groupBy("shingle").agg(F.max("pivot").alias("pivot")).select("shingle", F.col("pivot.node").alias("node")).join(full, ["shingle", "node"]).select("shingle", F.col("part").alias("main"))
-    rest = full.join(main, "shingle").where("part <> main").drop("main")
-    spread = full.join(rest.select("shingle").distinct(), "shingle", "left_semi")
-    across = (F.col("a") != F.col("b")) & (F.col("part_a") != F.col("part_b")) & fit
-    last = _ordered(_side(rest, "a", "part").join(_side(spread, "b", "part"), "shingle").where(across).select("a", "b"))
+    spread = full.join(main, "shingle").withColumn("outside", F.col("part") != F.col("main"))
+    rest = spread.where("outside")
+    # Two sets that are both outside meet from either side.
+    across = (F.col("part_a") != F.col("part_b")) & (~F.col("outside_b") | (F.col("a") < F.col("b"))) & fit
+    last = _ordered(_side(rest, "a", "part").join(_side(spread, "b", "part", "outside"), "shingle").where(across).select("a", "b"))
     last = tables.keep(last.join(tried, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti"))
     tables.drop(full, pivots, tried, again)
     return tables.keep(_star(parts).unionByName(_verified(last, classes, docs, tables)))
@@ -267,9 +329,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     docs = docs.withColumn("_row", F.xxhash64(F.lit(SEED), *(c for name in columns for c in (F.isnull(name), F.col(name)))))
     rank = F.struct(F.isnull("doc_id").alias("last"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "_row")
-    marked = _marked(docs).withColumn("rank", rank)
+    order = common_shingles(docs)
+    marked = _marked(docs, order).withColumn("rank", rank)
     tables = _Tables()
     classes = tables.keep(marked.groupBy("node").agg(F.min("rank").alias("rank"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("fp").alias("fp")))
+    classes = _reordered(classes, docs, order, tables)
     nodes, edges = classes.select("node", "rank"), links(classes, docs, tables)
     if not edges.isEmpty():
         found = simhash.components(edges, nodes)

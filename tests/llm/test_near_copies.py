@@ -77,6 +77,21 @@ def test_copies_of_one_text_make_no_pairs_by_the_square(spark, monkeypatch):
     assert sum(tried) < 150 * 20 < 150 * 149 / 2
 
 
+def test_texts_that_share_a_passage_only_are_not_compared(spark, monkeypatch):
+    """A passage that the sample does not show to be common: its shingles go back in the order once prefixes show them crowded."""
+    monkeypatch.setattr(near_copies, "SAMPLE", 1)
+    passage = [f"p{i}" for i in range(24)]
+    own = lambda i, k: [f"v{i}x{j}" for j in range(k)]
+    texts = [" ".join(own(i, 40) + passage + own(-i - 1, 20)) for i in range(120)]
+    texts += [texts[7] + " end", texts[7] + " end of it", " ".join(passage), " ".join([*passage, "end"])]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    docs, tried = spark.createDataFrame(rows, SCHEMA), []
+    verified = near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *more: tried.append(pairs.count()) or verified(pairs, *more))
+    assert sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == plain_leaders(rows) == [*range(120), 122]
+    assert sum(tried) < 20
+
+
 def test_rows_without_or_with_the_same_doc_id(spark):
     a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
     docs = spark.createDataFrame([(None, a, "s"), (None, b, "s"), (1, b, "s"), (1, "c d e f g h", "s"), (2, "c d e f g h", "t")], SCHEMA)
