@@ -13,6 +13,7 @@ hash; it then scores every document, and whole texts, however long.
 
 from __future__ import annotations
 
+import pickle
 import re
 import uuid
 import zlib
@@ -210,10 +211,10 @@ def common(rows: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, sample: int = SAMPLE, seed: int = 5) -> Chain:
-    """Fit on at most ``sample`` labelled rows; the executors make features, the driver gets those alone.
+    """Fit on at most ``sample`` labelled rows; the executors make features and one task fits, the driver gets the chain alone.
 
     Of documents that share a labelled doc_id one takes part, the one of least
-    features, so no more than ``sample`` rows reach the driver however often
+    features, so no more than ``sample`` rows reach that task however often
     an id occurs. Labels with a null, and rows with a null doc_id, take no
     part; a repeated label row counts once.
     """
@@ -237,9 +238,20 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
     schema = "doc_id long, features binary, dense array<double>, " + ", ".join(f"{c} int" for c in categories)
     joined = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
     made = joined.select("doc_id", "text", *(F.col(c).cast("int") for c in categories)).mapInArrow(run, schema)
-    held = made.groupBy("doc_id", *categories).agg(F.min(F.struct("features", "dense")).alias("least"))
-    got = held.select("doc_id", "least.*", *categories).toPandas()
-    got = got.sort_values(["doc_id", *categories, "features"], ignore_index=True)
+    one = made.groupBy("doc_id", *categories).agg(F.min(F.struct("features", "dense")).alias("least"))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("toxicity fit", dict)
+        table = pa.Table.from_batches(batches, pa.schema([("doc_id", pa.int64()), ("features", pa.binary()), ("dense", pa.list_(pa.float64())), *((c, pa.int32()) for c in categories)]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_fitted(table, categories, seed))])], names=["chain"])
+
+    got = one.select("doc_id", "least.*", *categories).repartition(1).mapInArrow(fit, "chain binary").first()
+    return pickle.loads(got["chain"]) if got else fit_chain([], np.empty((0, N_DENSE)), np.empty((0, len(categories)), np.int32), categories)
+
+
+def _fitted(table: pa.Table, categories: tuple[str, ...], seed: int) -> Chain:
+    """The chain for all rows of ``table`` (doc_id, features, dense, categories), whatever their order."""
+    got = table.to_pandas().sort_values(["doc_id", *categories, "features"], ignore_index=True)
     names, features = common([np.frombuffer(b, "<i4") for b in got["features"]])
     dense = np.array(got["dense"].tolist()).reshape(-1, N_DENSE)
     marks = got[list(categories)].to_numpy()

@@ -362,6 +362,14 @@ def test_toxicity_chain(spark, toxic, none):
     assert not any(r.toxic for r in toxicity.score(docs, untaught).collect())
 
 
+def test_toxicity_is_not_fitted_on_the_driver(spark, toxic, monkeypatch):
+    """The features of thousands of texts, and what the fit makes of them, stay out of the driver's memory."""
+    docs, labels = toxic
+    want = [m.kept.tolist() for m in toxicity.train(docs, labels).models]
+    monkeypatch.setattr(toxicity, "fit_chain", None)
+    assert want[1] and [m.kept.tolist() for m in toxicity.train(docs, labels).models] == want
+
+
 def test_packing(spark, docs, none):
     cut = packing.pieces(docs, BYTE_BPE, end_id=0, capacity=256)
     rows = packing.pack(cut, capacity=256).collect()
